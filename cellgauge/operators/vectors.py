@@ -17,37 +17,31 @@ from cellgauge.session import stage
 BLOCK_ROWS = 1_024
 
 
-def _pack(df: DataFrame, key: str, vec: str, pivots: DataFrame, rows: int, name: str) -> DataFrame:
-    """Blocks of nearby vectors: ``block, pivot, radius, ids, flat``.
+def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, name: str) -> DataFrame:
+    """Blocks of nearby vectors: ``block, pivot, part, parts, radius, ids, flat``.
 
     A vector belongs to its nearest pivot; a pivot with many vectors is cut into
     blocks by hash, so a block stays near ``rows`` rows whatever the data.
     """
-    table = pivots.select(F.collect_list(F.struct("pivot", "center"))).scalar()
-    tagged = df.select(
-        F.col(key).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"), table.alias("_pivots")
-    )
 
     @F.pandas_udf("pivot int, dist double")
-    def nearest(v: pd.Series, p: pd.Series) -> pd.DataFrame:
+    def nearest(v: pd.Series) -> pd.DataFrame:
         if len(v) == 0:
             return pd.DataFrame({"pivot": pd.Series(dtype="int32"), "dist": pd.Series(dtype="float64")})
-        first = p.iloc[0]
-        centers = np.stack([np.asarray(c["center"], dtype=float) for c in first])
-        codes = np.asarray([c["pivot"] for c in first])
         x = np.stack(v.to_numpy())
         d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centers], axis=1)
         best = d.argmin(axis=1)
-        return pd.DataFrame({"pivot": codes[best], "dist": d[np.arange(len(x)), best]})
+        return pd.DataFrame({"pivot": best.astype("int32"), "dist": d[np.arange(len(x)), best]})
 
-    placed = stage(tagged.withColumn("_n", nearest("v", "_pivots")).select("id", "v", "_n.*"), name)
-    cut = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_cuts"))
-    part = F.pmod(F.xxhash64("id"), F.col("_cuts")).cast("int")
-    packed = placed.join(cut, "pivot").groupBy("pivot", part.alias("part")).agg(
+    tagged = df.select(F.col(key).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"))
+    placed = stage(tagged.withColumn("_n", nearest("v")).select("id", "v", "_n.*"), name)
+    cut = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    packed = placed.join(cut, "pivot").groupBy("pivot", "parts", part.alias("part")).agg(
         F.max("dist").alias("radius"), F.collect_list(F.struct("id", "v")).alias("_rows")
     )
     blocks = packed.select(
-        F.concat_ws(":", "pivot", "part").alias("block"), "pivot", "radius",
+        F.concat_ws(":", "pivot", "part").alias("block"), "pivot", "part", "parts", "radius",
         F.transform("_rows", lambda r: r["id"]).alias("ids"),
         F.flatten(F.transform("_rows", lambda r: r["v"])).alias("flat"),
     )
@@ -64,8 +58,9 @@ def _top(q_ids, q, c_ids, c, k: int, same: bool) -> list[tuple[np.ndarray, np.nd
         d[q_ids[:, None] == c_ids[None, :]] = np.inf
     out = []
     for row in d:
-        order = np.lexsort((c_ids, row))[:k]
-        order = order[np.isfinite(row[order])]
+        limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+        near = np.flatnonzero((row <= limit) & np.isfinite(row))
+        order = near[np.lexsort((c_ids[near], row[near]))][:k]
         out.append((c_ids[order], row[order]))
     return out
 
@@ -81,22 +76,14 @@ def knn_vectors(
     bound exceeds it are never met (triangle inequality). Tasks see one pair of
     blocks at a time, and return at most ``k`` rows per query.
     """
-    pivots = stage(
-        sample_n(base.select(key, vec), n_pivots, [key], seed).select(
-            (F.row_number().over(W.orderBy(key)) - 1).cast("int").alias("pivot"),
-            F.transform(vec, lambda v: v.cast("double")).alias("center"),
-        ),
-        "pivots",
-    )
-    cand = _pack(base, key, vec, pivots, block_rows, "candidates")
-    query = cand if same_table and queries is base else _pack(queries, key, vec, pivots, block_rows, "queries")
+    spark = base.sparkSession
+    # at most n_pivots rows reach the driver
+    drawn = sample_n(base.select(key, vec), n_pivots, [key], seed).orderBy(key).collect()
+    centers = np.array([r[vec] for r in drawn], dtype=float)
+    cand = _pack(base, key, vec, centers, block_rows, "candidates")
+    query = cand if same_table and queries is base else _pack(queries, key, vec, centers, block_rows, "queries")
     id_type = base.schema[key].dataType.simpleString()
 
-    def pairs(of: DataFrame, on) -> DataFrame:
-        q = of.select(*[F.col(c).alias(f"q_{c}") for c in of.columns])
-        c = cand.select(*[F.col(n).alias(f"c_{n}") for n in cand.columns])
-        return q.join(c, on)
-
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -108,22 +95,26 @@ def knn_vectors(
                 rows.append((r.q_block, max((d[-1] if len(d) == k else np.inf) for _, d in best)))
             yield pd.DataFrame(rows, columns=["q_block", "reach"])
 
-    own = pairs(query, F.col("q_pivot") == F.col("c_pivot")).select("q_block", "q_ids", "q_flat", "c_ids", "c_flat")
+    def prefixed(blocks: DataFrame, p: str) -> DataFrame:
+        return blocks.select(*[F.col(c).alias(p + c) for c in blocks.columns])
+
+    # one candidate block of its own pivot is enough to bound a query block
+    parts = cand.groupBy("pivot").agg(F.max("parts").alias("_cp"))
+    probe = query.join(parts, "pivot").withColumn("_probe", F.concat_ws(":", "pivot", F.pmod("part", "_cp")))
+    own = prefixed(probe, "q_").join(prefixed(cand, "c_"), F.col("q__probe") == F.col("c_block")).select(
+        "q_block", "q_ids", "q_flat", "c_ids", "c_flat"
+    )
     reach = own.mapInPandas(bound, "q_block string, reach double").groupBy("q_block").agg(F.min("reach").alias("q_reach"))
-    center_a = pivots.select(F.col("pivot").alias("q_pivot"), F.col("center").alias("_a"))
-    center_b = pivots.select(F.col("pivot").alias("c_pivot"), F.col("center").alias("_b"))
-    gaps = stage(
-        center_a.crossJoin(center_b).select(
-            "q_pivot", "c_pivot",
-            F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda s, v: s + v)).alias("_gap"),
-        ),
-        "gaps",
+    between = _distances(centers, centers)
+    gaps = spark.createDataFrame(
+        [(i, j, float(between[i, j])) for i in range(len(centers)) for j in range(len(centers))],
+        "q_pivot int, c_pivot int, _gap double",
     )
     heads_q = query.select(F.col("block").alias("q_block"), F.col("pivot").alias("q_pivot"), F.col("radius").alias("q_radius"))
     heads_c = cand.select(F.col("block").alias("c_block"), F.col("pivot").alias("c_pivot"), F.col("radius").alias("c_radius"))
     meet = (
         heads_q.join(reach, "q_block", "left").join(gaps, "q_pivot").join(heads_c, "c_pivot")
-        .where((F.col("_gap") - F.col("q_radius") - F.col("c_radius")) * (1 - 1e-12) <= F.coalesce("q_reach", F.lit(float("inf"))))
+        .where(F.col("_gap") - F.col("q_radius") - F.col("c_radius") - 1e-9 <= F.coalesce("q_reach", F.lit(float("inf"))))
         .select("q_block", "c_block")
     )
     q = query.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
