@@ -158,7 +158,7 @@ def drop_rare(spark, sf):
 
 
 @query("p20_drop_outlier_rows", sql("""SELECT count(*) AS n, """ + ", ".join(
-    f"{r6(f'sum({m})')} AS sum_{m}" for m in fx.EXPR_MARKERS) + """ FROM expr, (SELECT """ + ", ".join(
+    f"{r6(f'sum(CAST({m} AS DECIMAL(20, 2)))')} AS sum_{m}" for m in fx.EXPR_MARKERS) + """ FROM expr, (SELECT """ + ", ".join(
     f"quantile_cont({m}, 0.99) AS q_{m}" for m in fx.EXPR_MARKERS) + " FROM expr) WHERE " + " AND ".join(
     f"{m} <= q_{m}" for m in fx.EXPR_MARKERS), "expr"))
 def drop_outliers(spark, sf):

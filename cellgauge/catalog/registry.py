@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
 
-MODULES = ("cleaning", "transforms", "aggregates")
+MODULES = ("sources", "joins", "cleaning", "aggregates")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import erfc
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -255,10 +258,6 @@ def rank_markers_wilcoxon(df: DataFrame, group: str, markers: Sequence[str]) ->
     Ties share their average rank; the variance is not corrected for ties.
     Values are ranked once per marker on their distinct values.
     """
-    import numpy as np
-    import pandas as pd
-    from math import erfc
-
     long = to_long(df, [group], markers).where(F.col("value").isNotNull())
     per_group = long.groupBy("marker", "value", group).agg(F.count(F.lit(1)).alias("_n"))
     per_group = stage(per_group, "marker_values")

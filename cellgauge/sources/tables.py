@@ -23,17 +23,27 @@ def read_quant(spark: SparkSession, path: str, schema: T.StructType | str | None
     return nan_to_null(df.withColumns(casts) if casts else df)
 
 
-def concat_files(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """Many CSV files as one table, the file stem as ``sample_id``.
+def sample_of(path: str | Column, folders: bool = False) -> Column:
+    """The sample a file belongs to: its stem, or its folder (``name`` or ``key=name``)."""
+    path = F.col(path) if isinstance(path, str) else path
+    if not folders:
+        return base_stem(path)
+    return F.regexp_extract(path, r"(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)
+
+
+def concat_files(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, folders: bool = False
+) -> DataFrame:
+    """Many CSV files as one table, the file stem (or the folder) as ``sample_id``.
 
     Several paths may have different columns; missing ones are filled with null.
     """
     parts = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for p in parts:
-        reader = spark.read.option("header", True)
+        reader = spark.read.option("header", True).option("recursiveFileLookup", True)
         df = reader.schema(schema).csv(p) if schema is not None else reader.option("inferSchema", True).csv(p)
-        df = df.withColumn("sample_id", base_stem(F.col("_metadata.file_name")))
+        df = df.withColumn("sample_id", sample_of(F.col("_metadata.file_path"), folders))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -46,19 +56,17 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 
 
 def read_predictions(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """All ``root/<dataset>/<method>/<level>/predictions_<fold>.csv`` files in one scan."""
-    df = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "predictions*.csv")
-        .schema(schema)
-        .csv(root)
-    )
+    """All ``<dataset>/<method>/<level>/predictions_<fold>.csv`` below ``root`` in one scan.
+
+    The parts may be written as ``key=value``, and a prediction file may be a
+    folder of part files.
+    """
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(root)
     path = F.col("_metadata.file_path")
-    pattern = r"([^/]+)/([^/]+)/([^/]+)/predictions_?([^/]*)\.csv$"
-    return df.withColumns({
-        "dataset": F.regexp_extract(path, pattern, 1), "method": F.regexp_extract(path, pattern, 2),
-        "level": F.regexp_extract(path, pattern, 3), "fold": F.regexp_extract(path, pattern, 4),
+    part = r"(?:[^/=]+=)?([^/]+)/"
+    pattern = part * 3 + r"(?:[^/=]+=)?predictions_?([^/]*?)\.csv(?:/[^/]+)?$"
+    return df.where(path.rlike(pattern)).withColumns({
+        name: F.regexp_extract(path, pattern, i + 1) for i, name in enumerate(("dataset", "method", "level", "fold"))
     })
 
 
@@ -92,10 +100,10 @@ def parse_fold_times(lines: DataFrame, by: Sequence[str] = (), order: Sequence[s
     return rows.groupBy(*by, "_name").agg(last.alias("_r")).select(*by, "_r.*")
 
 
-def read_fold_times(spark: SparkSession, path: str) -> DataFrame:
-    """Timing text files of any number of runs, with the file path as ``run``."""
-    lines = number_lines(spark, path).withColumnRenamed("file", "run")
-    return parse_fold_times(lines, by=["run"], order=["block", "line"])
+def read_fold_times(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Timing text files of any number of runs; ``run`` is the file stem or its folder."""
+    lines = number_lines(spark, path).withColumn("run", sample_of("file", folders))
+    return parse_fold_times(lines, by=["run"], order=["file", "block", "line"])
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -115,24 +123,26 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 # -- folds -----------------------------------------------------------------
 
 
-def read_cell_folds(spark: SparkSession, path: str) -> DataFrame:
-    """Nested row-index lists as ``fold, split, row``."""
-    item = "fold int, train array<bigint>, test array<bigint>, validation array<bigint>"
-    raw = spark.read.schema(f"random_state bigint, folds array<struct<{_struct(item)}>>").option("multiLine", True).json(path)
-    folds = raw.select(F.explode("folds").alias("f")).select("f.*")
-    lists = F.array(*[
-        F.struct(F.lit(s).alias("split"), F.col(s).alias("rows")) for s in ("train", "test", "validation")
-    ])
-    return folds.select("fold", F.explode(lists).alias("l")).select("fold", "l.split", F.explode("l.rows").alias("row"))
+FOLD_LISTS = "fold:int,train:array<bigint>,test:array<bigint>,validation:array<bigint>"
 
 
-def _struct(fields: str) -> str:
-    return ", ".join(":".join(f.split(" ", 1)) for f in fields.split(", "))
+def read_cell_folds(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Nested row-index lists as ``random_state, fold, split, row``; one document per line or file."""
+    schema = f"random_state bigint, folds array<struct<{FOLD_LISTS}>>"
+    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    folds = raw.select("random_state", F.explode("folds").alias("f")).select("random_state", "f.*")
+    lists = F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("rows")) for s in ("train", "test", "validation")])
+    return folds.select("random_state", "fold", F.explode(lists).alias("l")).select(
+        "random_state", "fold", "l.split", F.explode("l.rows").alias("row")
+    )
+
 
+def read_image_folds(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """``fold_i_train_set`` / ``fold_i_test_set`` lists as ``fold, split, image``.
 
-def read_image_folds(spark: SparkSession, path: str) -> DataFrame:
-    """``fold_i_train_set`` / ``fold_i_test_set`` lists as ``fold, split, image``."""
-    text = spark.read.text(path, wholetext=True)
+    One document per file, or per line with ``multiline`` off.
+    """
+    text = spark.read.text(path, wholetext=multiline)
     entries = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "images"))
     pattern = r"^fold_([0-9]+)_(train|test|validation)_set$"
     return entries.where(F.col("name").rlike(pattern)).select(
@@ -150,23 +160,27 @@ def write_folds(df: DataFrame, path: str) -> None:
 # -- labels per line -------------------------------------------------------
 
 
-def read_line_labels(spark: SparkSession, path: str, n_cells: DataFrame | None = None) -> DataFrame:
+def read_line_labels(
+    spark: SparkSession, path: str, n_cells: DataFrame | None = None, folders: bool = False
+) -> DataFrame:
     """One label code per line, line N for cell N: ``sample_id, cell_id, code``.
 
     ``n_cells`` (``sample_id, n_cells``) tells how many cells each sample has: a
     file with one line more starts with an entry for the background, which is
     dropped; a shorter file is padded with -1.
     """
-    lines = number_lines(spark, path).where(F.trim("value") != "")
-    # position of a line = lines in earlier blocks of the file + its rank in the block
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocks.select(
-        "file", "block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy("file")).alias("_lines")
+    lines = number_lines(spark, path).where(F.trim("value") != "").withColumn("sample_id", sample_of("file", folders))
+    # position of a line = lines in earlier blocks of the sample + its rank in the block
+    block = ["sample_id", "file", "block"]
+    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("sample_id").orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(
+        *block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(W.partitionBy("sample_id")).alias("_lines"),
     )
-    in_block = F.row_number().over(W.partitionBy("file", "block").orderBy("line"))
-    rows = lines.join(blocks, ["file", "block"]).select(
-        base_stem("file").alias("sample_id"), (F.col("_before") + in_block).alias("_pos"), "_lines",
+    in_block = F.row_number().over(W.partitionBy(*block).orderBy("line"))
+    rows = lines.join(counts, block).select(
+        "sample_id", (F.col("_before") + in_block).alias("_pos"), "_lines",
         F.trim("value").cast("double").cast("int").alias("code"),
     )
     if n_cells is None:
@@ -174,7 +188,9 @@ def read_line_labels(spark: SparkSession, path: str, n_cells: DataFrame | None =
     sizes = n_cells.select("sample_id", F.col("n_cells").cast("bigint").alias("_cells"))
     shift = F.when(F.col("_lines") == F.col("_cells") + 1, 1).otherwise(0)
     placed = rows.join(sizes, "sample_id").select("sample_id", (F.col("_pos") - shift).alias("cell_id"), "code")
-    every = sizes.where(F.col("_cells") > 0).select("sample_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "_cells")).alias("cell_id"))
+    every = sizes.where(F.col("_cells") > 0).select(
+        "sample_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "_cells")).alias("cell_id")
+    )
     return every.join(placed, ["sample_id", "cell_id"], "left").select(
         "sample_id", "cell_id", F.coalesce("code", F.lit(-1)).alias("code")
     )
