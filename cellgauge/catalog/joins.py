@@ -129,7 +129,7 @@ def knn_vecs(spark, sf):
 
 @query("j12_label_transfer", sql("""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(concat('7-', vec_id)), vec_id) AS k, count(*) OVER () AS n FROM vecs),
   s AS (SELECT * FROM r WHERE k <= round(0.4 * n)),
-  d AS (SELECT a.vec_id, s.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, s.v), s.vec_id) AS k FROM vecs a, s QUALIFY k <= 5),
+  d AS (SELECT a.vec_id, s.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, s.v), s.vec_id) AS nth FROM vecs a, s QUALIFY nth <= 5),
   c AS (SELECT vec_id, label, count(*) AS n FROM d GROUP BY 1, 2)
   SELECT vec_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) = 1""", "vecs"))
 def transfer(spark, sf):

@@ -127,11 +127,8 @@ def read_decision_matrix(spark, sf):
     return S.read_decision_matrix(spark, path)
 
 
-TREE = """SELECT p_type, p_brand, p_name FROM part"""
-
-
-@query("s09_read_hierarchy", """WITH last AS (SELECT p_name, max(concat(p_type, '|', p_brand)) AS at FROM part GROUP BY 1)
-  SELECT p_partkey, p_name, concat(split_part(at, '|', 1), ' > ', split_part(at, '|', 2)) AS ancestors FROM part JOIN last USING (p_name)""")
+@query("s09_read_hierarchy", """WITH last AS (SELECT p_name, max(concat(p_type, '|', p_brand)) AS path FROM part GROUP BY 1)
+  SELECT p_partkey, p_name, concat(split_part(path, '|', 1), ' > ', split_part(path, '|', 2)) AS ancestors FROM part JOIN last USING (p_name)""")
 def read_hierarchy(spark, sf):
     path = scratch_path(spark, "tree")
     part = fx.table(spark, sf, "part")

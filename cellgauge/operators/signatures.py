@@ -166,23 +166,34 @@ def score_signature_tree(
 # -- vectors ---------------------------------------------------------------
 
 
-def centroids(train: DataFrame, label: str, vec: str) -> DataFrame:
-    """Mean vector per class: ``label, centroid``."""
+def centroids(train: DataFrame, label: str, vec: str, size: int | None = None) -> DataFrame:
+    """Mean vector per class: ``label, centroid``.
+
+    With a known vector ``size`` the elements are averaged in place; otherwise
+    they are spread over rows first.
+    """
+    if size is not None:
+        means = train.groupBy(F.col(label).alias("label")).agg(
+            *[F.avg(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"e{i}") for i in range(size)]
+        )
+        return means.select("label", F.array(*[f"e{i}" for i in range(size)]).alias("centroid"))
     long = train.select(F.col(label).alias("label"), F.posexplode(vec).alias("_p", "_v"))
-    means = long.groupBy("label", "_p").agg(F.avg("_v").alias("_v"))
+    means = long.groupBy("label", "_p").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
     pairs = F.array_sort(F.collect_list(F.struct("_p", "_v")))
     return means.groupBy("label").agg(F.transform(pairs, lambda p: p["_v"]).alias("centroid"))
 
 
-def nearest_centroid(train: DataFrame, rows: DataFrame, label: str, vec: str, out: str = "predicted") -> DataFrame:
+def nearest_centroid(
+    train: DataFrame, rows: DataFrame, label: str, vec: str, out: str = "predicted", size: int | None = None
+) -> DataFrame:
     """Class of the closest centroid, ties to the smallest label.
 
     The centroids travel as one scalar value, so rows are neither joined nor moved.
     """
-    cents = centroids(train, label, vec)
+    cents = centroids(train, label, vec, size)
     table = cents.select(F.array_sort(F.collect_list(F.struct("label", "centroid")))).scalar()
-    dists = F.transform(table, lambda c: F.struct(squared_distance(c["centroid"], vec).alias("d"), c["label"].alias("label")))
-    return rows.withColumn("_best", F.array_min(dists)).select(
+    dists = F.transform("_table", lambda c: F.struct(squared_distance(c["centroid"], vec).alias("d"), c["label"].alias("label")))
+    return rows.withColumn("_table", table).withColumn("_best", F.array_min(dists)).select(
         *rows.columns, F.col("_best.label").alias(out), F.sqrt("_best.d").alias("distance")
     )
 
