@@ -149,12 +149,16 @@ def row_weights(spark, sf):
     return rounded(A.with_class_weight(fx.cells(spark, sf).select("cell_id", "cell_type"), "cell_type"))
 
 
-@query("a18_abundance_bins", sql(f"""WITH c AS (SELECT p_size % 7 AS dataset, p_brand AS cell_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY p_size % 7) AS pct
-    FROM part WHERE p_brand < 'Brand#20' OR p_size < 20 GROUP BY 1, 2)
+MIXED = """CASE WHEN p_partkey % 200 = 0 THEN 'type_d' WHEN p_partkey % 40 = 1 THEN 'type_c' WHEN p_partkey % 8 = 2 THEN 'type_b'
+                 WHEN p_partkey % 2 = 0 THEN 'type_a' ELSE p_type END"""
+
+
+@query("a18_abundance_bins", sql(f"""WITH c AS (SELECT p_size % 7 AS dataset, {MIXED} AS cell_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY p_size % 7) AS pct
+    FROM part GROUP BY 1, 2)
   SELECT dataset, cell_type, n, {r6('pct')} AS abundance_pct,
     CASE WHEN pct >= 20 THEN 'abundant' WHEN pct >= 5 THEN 'common' WHEN pct >= 1 THEN 'rare' ELSE 'ultra_rare' END AS abundance_bin FROM c"""))
 def abundance(spark, sf):
-    df = fx.table(spark, sf, "part").where("p_brand < 'Brand#20' OR p_size < 20").selectExpr("p_size % 7 AS dataset", "p_brand AS cell_type")
+    df = fx.table(spark, sf, "part").selectExpr("p_size % 7 AS dataset", f"{MIXED} AS cell_type")
     return rounded(A.abundance_bins(df, "dataset", "cell_type"))
 
 

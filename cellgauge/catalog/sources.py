@@ -121,7 +121,7 @@ def read_decision_matrix(spark, sf):
     path = scratch_path(spark, "matrix")
     part = fx.table(spark, sf, "part")
     weight = F.when(F.max("p_size") >= 49, 1).when(F.min("p_size") <= 4, -1).otherwise(0)
-    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").limit(200).collect()]
+    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
     part.groupBy(F.col("p_brand").alias("Populations")).pivot("p_type", types).agg(
         F.when(F.count(F.lit(1)) % 4 != 0, weight)).write.option("header", True).csv(path)
     return S.read_decision_matrix(spark, path)
@@ -160,27 +160,27 @@ def write_csv(spark, sf):
 
 
 @query("s11_write_predictions", with_ctes(
-    "SELECT cell_id, true_phenotype, predicted_phenotype, method FROM preds WHERE fold = 3 AND method <> 'm_c'", "preds"))
+    "SELECT cell_id, true_phenotype, predicted_phenotype, method, CAST(fold AS INT) AS fold FROM preds", "preds"))
 def write_predictions(spark, sf):
     path = scratch_path(spark, "predictions")
     preds = fx.predictions(spark, sf).withColumns({"dataset": F.lit("tissue_a"), "level": F.lit("level_3")})
     S.write_predictions(preds, path)
-    return spark.read.parquet(path).where("dataset = 'tissue_a' AND fold = 3 AND method <> 'm_c'").select(
-        "cell_id", "true_phenotype", "predicted_phenotype", "method")
+    return spark.read.parquet(path).where("dataset = 'tissue_a' AND level = 'level_3'").select(
+        "cell_id", "true_phenotype", "predicted_phenotype", "method", "fold")
 
 
-@query("s12_embeddings", f"""SELECT vec_id, label, len(embedding) AS dims, {r6('list_sum(CAST(embedding AS DOUBLE[]))')} AS total FROM embeddings WHERE label < 5""")
+@query("s12_embeddings", f"""SELECT vec_id, label, len(embedding) AS dims, {r6('list_sum(CAST(embedding AS DOUBLE[]))')} AS total FROM embeddings""")
 def embeddings(spark, sf):
     path = scratch_path(spark, "embeddings")
     S.write_embeddings(fx.vectors(spark, sf).withColumnRenamed("label", "image"), path)
-    out = S.read_embeddings(spark, path).where("image < 5")
+    out = S.read_embeddings(spark, path)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
     return rounded(out.select("vec_id", F.col("image").alias("label"), F.size("embedding").cast("bigint").alias("dims"), total.alias("total")))
 
 
-@query("s13_write_folds", with_ctes("""SELECT cell_id, cell_type, m1 FROM cells WHERE cell_id % 5 = 2""", "cells"))
+@query("s13_write_folds", with_ctes("""SELECT cell_id, cell_type, m1, CAST(f AS INT) AS fold, CASE WHEN cell_id % 5 = f THEN 'test' ELSE 'train' END AS split FROM cells, range(5) r(f)""", "cells"))
 def write_folds(spark, sf):
     path = scratch_path(spark, "fold_tables")
     df = fx.cells(spark, sf).select("cell_id", "cell_type", "m1", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
     S.write_folds(df.withColumn("split", F.when(F.col("cell_id") % 5 == F.col("fold"), "test").otherwise("train")), path)
-    return spark.read.parquet(path).where("fold = 2 AND split = 'test'").select("cell_id", "cell_type", "m1")
+    return spark.read.parquet(path).select("cell_id", "cell_type", "m1", "fold", "split")

@@ -233,12 +233,8 @@ def vectors_from_tiles(
         (F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x0") + size) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y0") + size)
     )
     cover = positions.join(boxes, [sample, "_bx", "_by"]).where(inside).select(sample, x, y, "tile")
-    n_tiles = cover.groupBy(sample, x, y).agg(F.count(F.lit(1)).alias("_nt"))
-    weights = (
-        spots.join(cover.join(n_tiles, [sample, x, y]), [sample, x, y])
-        .groupBy(sample, mask, "tile")
-        .agg(F.sum(F.col("_px") / F.col("_nt")).alias("_w"))
-    )
+    cover = cover.withColumn("_nt", F.count(F.lit(1)).over(W.partitionBy(sample, x, y)))
+    weights = spots.join(cover, [sample, x, y]).groupBy(sample, mask, "tile").agg(F.sum(F.col("_px") / F.col("_nt")).alias("_w"))
     area = spots.groupBy(sample, mask).agg(F.sum("_px").alias("n_pixels"))
     summed = (
         weights.join(tiles.select(sample, "tile", vec), [sample, "tile"])

@@ -167,6 +167,19 @@ def dedup_keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str | Co
     return df.groupBy(*key).agg(first).select(*key, "_r.*").select(*df.columns)
 
 
+def expand_range(df: DataFrame, low: Column, high: Column, out: str, step: int = 100_000) -> DataFrame:
+    """Each row once per whole number from ``low`` to ``high``.
+
+    Long ranges are cut into steps that are spread over the tasks before they
+    are written out, so one long range is no heavier than many short ones.
+    """
+    low, high = low.cast("bigint"), high.cast("bigint")
+    cut = df.withColumn("_from", F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))))
+    spread = cut.repartition("_from", *[c for c in df.columns])
+    upto = F.least(F.col("_from") + step - 1, high)
+    return spread.withColumn(out, F.explode(F.sequence(F.col("_from"), upto))).drop("_from")
+
+
 def dense_reindex(
     df: DataFrame, by: Sequence[str], id_col: str, default: Mapping[str, object], start: int = 1
 ) -> DataFrame:
@@ -174,8 +187,8 @@ def dense_reindex(
 
     Ids without a row get the default values and ``_is_dummy`` true.
     """
-    top = df.groupBy(*by).agg(F.max(id_col).alias("_top")).where(F.col("_top") >= start)
-    ids = top.select(*by, F.explode(F.sequence(F.lit(start).cast("bigint"), F.col("_top").cast("bigint"))).alias(id_col))
+    top = df.groupBy(*by).agg(F.max(id_col).cast("bigint").alias("_top")).where(F.col("_top") >= start)
+    ids = expand_range(top, F.lit(start), F.col("_top"), id_col).drop("_top")
     out = ids.join(df.withColumn("_real", F.lit(True)), [*by, id_col], "left")
     for name, value in default.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))

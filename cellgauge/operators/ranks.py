@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellgauge.functions.exprs import order_hash
+from cellgauge.session import stage
 
 HASH_DIGITS = 3  # 4096 buckets per group
 
@@ -43,36 +44,46 @@ def hash_rank(
     expression may use ``by`` and ``size``); buckets beyond it are dropped
     before anything is sorted.
     """
-    size_col = size or "_size"
-    hashed = df.withColumn("_hash", order_hash(seed, *key)).withColumn("_bucket", F.substring("_hash", 1, digits))
-    counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    size_col = size or "_group_rows"
+    hashed = df.withColumn("_hash", order_hash(seed, *key)).withColumn(
+        # one struct is the key of both the join and the window, so rows are shuffled once;
+        # nulls in it are equal to each other
+        "_cell", F.struct(*by, F.substring("_hash", 1, digits).alias("_bucket"))
+    )
+    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
+    group = [f"_cell.{b}" for b in by]
     offsets = counts.select(
-        *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)],
-        F.col("_bucket").alias("_b"),
-        _running_before("_c", by, "_bucket").alias("_before"),
-        F.sum("_c").over(W.partitionBy(*by)).alias(size_col),
+        "_cell",
+        _running_before("_c", group, "_cell._bucket").alias("_before"),
+        F.sum("_c").over(W.partitionBy(*group)).alias(size_col),
     )
-    on = hashed["_bucket"] == offsets["_b"]
-    for i, b in enumerate(by):
-        on &= hashed[b].eqNullSafe(offsets[f"_k{i}"])
-    out = hashed.join(offsets, on).drop("_b", *[f"_k{i}" for i in range(len(by))])
+    out = hashed.join(offsets, "_cell")
     limit = None if first is None else (F.lit(first) if isinstance(first, int) else first)
     if limit is not None:
         out = out.where(F.col("_before") < limit)
-    w = W.partitionBy(*by, "_bucket").orderBy("_hash", *key)
-    out = out.withColumn(rank, F.col("_before") + F.row_number().over(w))
+    out = out.withColumn(rank, F.col("_before") + F.row_number().over(W.partitionBy("_cell").orderBy("_hash", *key)))
     if limit is not None:
         out = out.where(F.col(rank) <= limit)
-    drop = ["_hash", "_bucket", "_before"] + ([] if size else [size_col])
-    return out.drop(*drop)
+    return out.select(*df.columns, *([size] if size else []), rank)
 
 
-def value_bucket(v: str | Column, per_octave: int = 256) -> Column:
-    """A non-decreasing integer function of a double, fine in relative terms."""
-    v = F.col(v) if isinstance(v, str) else v
-    lift = 1100 * per_octave
-    magnitude = F.floor(F.log2(F.abs(v)) * per_octave) + lift
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
+def _bucketed(df: DataFrame, by: Sequence[str], value: str, per_octave: int = 512) -> DataFrame:
+    """Add ``_bucket``, a whole number that never falls as the value rises.
+
+    The value's place between the smallest and the largest of its group is taken
+    on a logarithmic scale, which cuts both narrow and long-tailed groups into
+    many buckets. The ranges come from one light aggregation.
+    """
+    ends = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    if by:
+        ranged = df.join(stage(df.groupBy(*by).agg(*ends), "ranges"), list(by))
+    else:
+        ends_of_all = df.select(F.struct(*ends)).scalar()
+        ranged = df.withColumns({"_lo": ends_of_all["_lo"], "_hi": ends_of_all["_hi"]})
+    place = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cut = F.greatest(F.floor(F.log2(place) * per_octave) + 60 * per_octave, F.lit(1))
+    bucket = F.when((F.col("_hi") > F.col("_lo")) & (place > 0), cut).otherwise(F.lit(0)).cast("bigint")
+    return ranged.withColumn("_bucket", bucket).drop("_lo", "_hi")
 
 
 def average_ranks(counts: DataFrame, by: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
@@ -80,7 +91,7 @@ def average_ranks(counts: DataFrame, by: Sequence[str], value: str = "value", n:
 
     Columns: ``by``, ``value``, ``avg_rank`` (ties share it) and ``group_rows``.
     """
-    bucketed = counts.withColumn("_bucket", value_bucket(value))
+    bucketed = _bucketed(counts, by, value)
     offsets = bucketed.groupBy(*by, "_bucket").agg(F.sum(n).alias("_c")).select(
         *by, "_bucket",
         _running_before("_c", by, "_bucket").alias("_before"),
@@ -100,12 +111,8 @@ def exact_quantiles(
     ``quantiles`` names each output column. Equals ``percentile`` without
     holding all values of a group in one aggregation buffer.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("_bucket", value_bucket("value"))
-    )
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"))
+    counts = _bucketed(values, by, "value").groupBy(*by, "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = counts.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_c"))
     offsets = offsets.select(
         *by, "_bucket", "_c",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellgauge.operators.cleaning import label_dictionary
+from cellgauge.operators.cleaning import expand_range, label_dictionary
 from cellgauge.operators.ranks import hash_rank
 from cellgauge.session import stage
 
@@ -66,7 +66,7 @@ def assign_groups(counts: DataFrame, label: str, group: str, k: int, seed: int,
 
     classes = counts.select(label).distinct().count()
     profile = counts.groupBy(group).agg(
-        F.sum("n").alias("_size"),
+        F.sum("n").alias("_rows_in"),
         F.sqrt(F.greatest(F.sum(F.col("n") * F.col("n")) / classes - (F.sum("n") / classes) ** 2, F.lit(0.0))).alias("_spread"),
         F.max_by(label, F.struct("n", label)).alias("_main"),
     ).withColumn("_tie", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(group).cast("string"))))
@@ -103,7 +103,7 @@ def assign_groups(counts: DataFrame, label: str, group: str, k: int, seed: int,
     )
     rest = profile.join(head, group, "left_anti")
     # round-robin with alternating direction over groups ordered by size within a main class
-    order = rest.withColumn("_size_key", F.lpad((F.lit(2**62) - F.col("_size")).cast("string"), 20, "0"))
+    order = rest.withColumn("_size_key", F.lpad((F.lit(2**62) - F.col("_rows_in")).cast("string"), 20, "0"))
     ranked = hash_rank(order, ["_main"], seed, [group], rank="_r")
     step = (F.col("_r") - 1) % (2 * k)
     dealt = ranked.select(group, F.when(step < k, step).otherwise(2 * k - 1 - step).cast("int").alias(out))
@@ -196,9 +196,8 @@ def grid_windows(
     sizes = df.groupBy(sample).agg(
         F.floor((F.floor(F.max(x)) + 1) / width).alias("_cols"), F.floor((F.floor(F.max(y)) + 1) / height).alias("_rows")
     ).where((F.col("_cols") > 0) & (F.col("_rows") > 0))
-    cells = sizes.select(
-        sample, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cols") - 1)).alias("win_x"), "_rows"
-    ).select(sample, "win_x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rows") - 1)).alias("win_y"))
+    rows = expand_range(sizes, F.lit(0), F.col("_rows") - 1, "win_y")
+    cells = rows.withColumn("win_x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cols") - 1))).select(sample, "win_x", "win_y")
     counts = df.groupBy(
         sample, F.floor(F.col(x) / width).alias("win_x"), F.floor(F.col(y) / height).alias("win_y")
     ).agg(F.count(F.lit(1)).alias("_n"))

@@ -35,7 +35,7 @@ def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, nam
 
     tagged = df.select(F.col(key).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"))
     placed = stage(tagged.withColumn("_n", nearest("v")).select("id", "v", "_n.*"), name)
-    cut = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    cut = stage(placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     packed = placed.join(cut, "pivot").groupBy("pivot", "parts", part.alias("part")).agg(
         F.max("dist").alias("radius"), F.collect_list(F.struct("id", "v")).alias("_rows")
@@ -48,26 +48,37 @@ def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, nam
     return stage(blocks, name)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
+def _nearest(q_ids, q, c_ids, c, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number of the query, candidate position and exact distance of the best ``k`` each.
 
-
-def _top(q_ids, q, c_ids, c, k: int, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    d = _distances(q, c)
+    A matrix product gives distances good to rounding; only candidates near the
+    k-th of them are measured exactly, and those are ordered by (distance, id).
+    """
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    qq, cc = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    rough = qq[:, None] + cc[None, :] - 2.0 * (q @ c.T)
     if same:
-        d[q_ids[:, None] == c_ids[None, :]] = np.inf
-    out = []
-    for row in d:
-        limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-        near = np.flatnonzero((row <= limit) & np.isfinite(row))
-        order = near[np.lexsort((c_ids[near], row[near]))][:k]
-        out.append((c_ids[order], row[order]))
-    return out
+        rough[q_ids[:, None] == c_ids[None, :]] = np.inf
+    slack = 1e-9 * (qq.max() + cc.max() + 1.0)
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
+    rows, cols = np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
+    dist = np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
+    best = np.lexsort((cols, dist, rows))
+    rows, cols, dist = rows[best], cols[best], dist[best]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = nth < k
+    return rows[keep], order[cols[keep]], dist[keep]
+
+
+def _matrix(ids, flat) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.asarray(ids)
+    return ids, np.asarray(flat, dtype=float).reshape(len(ids), -1)
 
 
 def knn_vectors(
     queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same_table: bool = True,
-    n_pivots: int = 64, block_rows: int = BLOCK_ROWS, seed: int = 42,
+    max_pivots: int = 64, block_rows: int = BLOCK_ROWS, seed: int = 42,
 ) -> DataFrame:
     """The exact ``k`` nearest base vectors of every query: ``src, dst, dist, rank``.
 
@@ -77,7 +88,8 @@ def knn_vectors(
     blocks at a time, and return at most ``k`` rows per query.
     """
     spark = base.sparkSession
-    # at most n_pivots rows reach the driver
+    # at most max_pivots rows reach the driver
+    n_pivots = max(1, min(max_pivots, base.count() // block_rows))
     drawn = sample_n(base.select(key, vec), n_pivots, [key], seed).orderBy(key).collect()
     centers = np.array([r[vec] for r in drawn], dtype=float)
     cand = _pack(base, key, vec, centers, block_rows, "candidates")
@@ -86,14 +98,14 @@ def knn_vectors(
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            out = []
             for r in pdf.itertuples(index=False):
-                q_ids, c_ids = np.asarray(r.q_ids), np.asarray(r.c_ids)
-                q = np.asarray(r.q_flat).reshape(len(q_ids), -1)
-                c = np.asarray(r.c_flat).reshape(len(c_ids), -1)
-                best = _top(q_ids, q, c_ids, c, k, same_table)
-                rows.append((r.q_block, max((d[-1] if len(d) == k else np.inf) for _, d in best)))
-            yield pd.DataFrame(rows, columns=["q_block", "reach"])
+                q_ids, q = _matrix(r.q_ids, r.q_flat)
+                c_ids, c = _matrix(r.c_ids, r.c_flat)
+                rows, _, dist = _nearest(q_ids, q, c_ids, c, k, same_table)
+                full = len(rows) == k * len(q_ids)
+                out.append((r.q_block, float(dist.max()) if full else np.inf))
+            yield pd.DataFrame(out, columns=["q_block", "reach"])
 
     def prefixed(blocks: DataFrame, p: str) -> DataFrame:
         return blocks.select(*[F.col(c).alias(p + c) for c in blocks.columns])
@@ -105,7 +117,7 @@ def knn_vectors(
         "q_block", "q_ids", "q_flat", "c_ids", "c_flat"
     )
     reach = own.mapInPandas(bound, "q_block string, reach double").groupBy("q_block").agg(F.min("reach").alias("q_reach"))
-    between = _distances(centers, centers)
+    between = np.sqrt(((centers[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2))
     gaps = spark.createDataFrame(
         [(i, j, float(between[i, j])) for i in range(len(centers)) for j in range(len(centers))],
         "q_pivot int, c_pivot int, _gap double",
@@ -122,17 +134,16 @@ def knn_vectors(
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            src, dst, dist = [], [], []
             for r in pdf.itertuples(index=False):
-                q_ids, c_ids = np.asarray(r.q_ids), np.asarray(r.c_ids)
-                x = np.asarray(r.q_flat).reshape(len(q_ids), -1)
-                y = np.asarray(r.c_flat).reshape(len(c_ids), -1)
-                best = _top(q_ids, x, c_ids, y, k, same_table)
-                sizes = [len(ids) for ids, _ in best]
-                yield pd.DataFrame({
-                    "src": np.repeat(q_ids, sizes),
-                    "dst": np.concatenate([ids for ids, _ in best]) if best else [],
-                    "dist": np.concatenate([d for _, d in best]) if best else [],
-                })
+                q_ids, x = _matrix(r.q_ids, r.q_flat)
+                c_ids, y = _matrix(r.c_ids, r.c_flat)
+                rows, cols, d = _nearest(q_ids, x, c_ids, y, k, same_table)
+                src.append(q_ids[rows])
+                dst.append(c_ids[cols])
+                dist.append(d)
+            if src:
+                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "dist": np.concatenate(dist)})
 
     found = meet.join(q, "q_block").join(c, "c_block").select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(
         search, f"src {id_type}, dst {id_type}, dist double"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgauge.functions.exprs import base_stem
-from cellgauge.operators.cleaning import nan_to_null
+from cellgauge.operators.cleaning import expand_range, nan_to_null
 
 # -- measurement tables ----------------------------------------------------
 
@@ -188,9 +188,7 @@ def read_line_labels(
     sizes = n_cells.select("sample_id", F.col("n_cells").cast("bigint").alias("_cells"))
     shift = F.when(F.col("_lines") == F.col("_cells") + 1, 1).otherwise(0)
     placed = rows.join(sizes, "sample_id").select("sample_id", (F.col("_pos") - shift).alias("cell_id"), "code")
-    every = sizes.where(F.col("_cells") > 0).select(
-        "sample_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "_cells")).alias("cell_id")
-    )
+    every = expand_range(sizes.where(F.col("_cells") > 0), F.lit(1), F.col("_cells"), "cell_id").drop("_cells")
     return every.join(placed, ["sample_id", "cell_id"], "left").select(
         "sample_id", "cell_id", F.coalesce("code", F.lit(-1)).alias("code")
     )
