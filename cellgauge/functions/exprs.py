@@ -71,6 +71,15 @@ def hash_uniform(seed: int, *key: str | Column) -> Column:
     return digits / F.lit(float(16**12))
 
 
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate, over rows that have both values; null without variance."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 # -- vectors ---------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellgauge.functions.exprs import effective_label, pearson
 from cellgauge.operators.ranks import average_ranks, exact_quantiles
 from cellgauge.session import stage
 
@@ -92,8 +93,6 @@ def expert_agreement(df: DataFrame, original: str, corrected: str, flag: str) ->
 
     ``scope`` is ``overall``, ``label`` or ``pair``.
     """
-    from cellgauge.functions.exprs import effective_label
-
     pairs = df.groupBy(F.col(original).alias("label"), effective_label(corrected, original).alias("corrected")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("changed")
     )
@@ -145,7 +144,7 @@ def marker_correlation(df: DataFrame, markers: Sequence[str], chunk: int = 100)
     parts = []
     for i in range(0, len(pairs), chunk):
         some = pairs[i : i + chunk]
-        row = df.agg(*[F.corr(a, b).alias(f"c{j}") for j, (a, b) in enumerate(some)])
+        row = df.agg(*[pearson(a, b).alias(f"c{j}") for j, (a, b) in enumerate(some)])
         cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{j}").alias("r")) for j, (a, b) in enumerate(some)]
         parts.append(row.select(F.explode(F.array(*cells)).alias("p")).select("p.*"))
     out = parts[0]
@@ -162,7 +161,7 @@ def centroid_correlation(df: DataFrame, group: str, markers: Sequence[str]) -> D
     long = to_long(means, [group], markers)
     a = long.select(F.col(group).alias("a"), "marker", F.col("value").alias("va"))
     b = long.select(F.col(group).alias("b"), "marker", F.col("value").alias("vb"))
-    return a.join(b, "marker").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.corr("va", "vb").alias("r"))
+    return a.join(b, "marker").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(pearson("va", "vb").alias("r"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -177,7 +176,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     )
     total = F.sum("n").over(W.partitionBy(*by)) if by else counts.agg(F.sum("n")).scalar()
     return counts.select(*by, "bin", (s["lo"] + F.col("bin") * width).alias("left_edge"), "n",
-                         (F.col("n") / (total * width)).alias("density"))
+                         F.try_divide(F.col("n"), total * width).alias("density"))
 
 
 # -- pixels ----------------------------------------------------------------

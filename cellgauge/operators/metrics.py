@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellgauge.functions.exprs import pearson
+
 UNDEFINED = "undefined"
 
 #: metric columns of :func:`label_metrics`, in report order
@@ -226,7 +228,7 @@ def label_metrics(
         F.count(F.when(is_class & (t > 0), 1)).alias("n_true"), F.count(F.when(is_class & (p > 0), 1)).alias("n_pred"),
         F.max(F.when(is_class, t)).alias("t_max"), F.min(F.when(is_class, t)).alias("t_min"),
         F.max(F.when(is_class, p)).alias("p_max"), F.min(F.when(is_class, p)).alias("p_min"),
-        F.corr(F.when(is_class, p), F.when(is_class, t)).alias("corr"),
+        pearson(F.when(is_class, p), F.when(is_class, t)).alias("corr"),
         F.sum(F.when(is_class, q_pct / 100 * F.log2((q_pct + 1e-9) / (t_pct + 1e-9)))).alias("kl_divergence"),
         F.sum(F.when(is_class, xlog2(t) + xlog2(p))).alias("js"),
         F.sum("hier").alias("hier"),

@@ -80,7 +80,7 @@ def _bucketed(df: DataFrame, by: Sequence[str], value: str, per_octave: int = 51
     else:
         ends_of_all = df.select(F.struct(*ends)).scalar()
         ranged = df.withColumns({"_lo": ends_of_all["_lo"], "_hi": ends_of_all["_hi"]})
-    place = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    place = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     cut = F.greatest(F.floor(F.log2(place) * per_octave) + 60 * per_octave, F.lit(1))
     bucket = F.when((F.col("_hi") > F.col("_lo")) & (place > 0), cut).otherwise(F.lit(0)).cast("bigint")
     return ranged.withColumn("_bucket", bucket).drop("_lo", "_hi")

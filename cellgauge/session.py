@@ -6,6 +6,7 @@ needed when the caller already has a configured session.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,6 +32,11 @@ def local_session(cpus: int | str = "*", app: str = "cellgauge", **conf: str) ->
     return session
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -42,9 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
