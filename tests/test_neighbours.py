@@ -61,11 +61,12 @@ def test_radius_pairs(spark, points, cell_rows):
     assert {i: sorted(n) for i, n in got.items()} == want
 
 
-def test_composition_and_means(spark, points):
+@pytest.mark.parametrize("cell_rows", [3, 2000])
+def test_composition_and_means(spark, points, cell_rows):
     df = frame(spark, points).withColumn("lb", F.when(F.col("id") % 3 == 0, "p").otherwise("q")).withColumn("m", F.col("id") * 1.0)
     near = brute(points, points, d=25.0)
-    shares = {r.id: r for r in S.neighbourhood_composition(df, "s", "id", "lb", 25.0, ["p", "q"]).collect()}
-    means = {r.id: r for r in S.neighbour_means(df, "s", "id", ["m"], 25.0).collect()}
+    shares = {r.id: r for r in S.neighbourhood_composition(df, "s", "id", "lb", 25.0, ["p", "q"], cell_rows=cell_rows).collect()}
+    means = {r.id: r for r in S.neighbour_means(df, "s", "id", ["m"], 25.0, cell_rows=cell_rows).collect()}
     for i, n in near.items():
         assert shares[i].n_neighbours == means[i].n_neighbours == len(n)
         if n:
