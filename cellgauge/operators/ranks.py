@@ -91,7 +91,7 @@ def average_ranks(counts: DataFrame, by: Sequence[str], value: str = "value", n:
 
     Columns: ``by``, ``value``, ``avg_rank`` (ties share it) and ``group_rows``.
     """
-    bucketed = _bucketed(counts, by, value)
+    bucketed = _bucketed(counts.na.drop(subset=[*by, value]), by, value)
     offsets = bucketed.groupBy(*by, "_bucket").agg(F.sum(n).alias("_c")).select(
         *by, "_bucket",
         _running_before("_c", by, "_bucket").alias("_before"),
@@ -111,7 +111,8 @@ def exact_quantiles(
     ``quantiles`` names each output column. Equals ``percentile`` without
     holding all values of a group in one aggregation buffer.
     """
-    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"))
+    # rows outside every group go first, so that both uses of the counts share one shuffle
+    values = df.na.drop(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("value"))
     counts = _bucketed(values, by, "value").groupBy(*by, "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = counts.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_c"))
     offsets = offsets.select(
