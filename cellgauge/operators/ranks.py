@@ -109,17 +109,13 @@ def exact_quantiles(
     """Exact quantiles per group with linear interpolation between neighbours.
 
     ``quantiles`` names each output column. Equals ``percentile`` without
-    holding all values of a group in one aggregation buffer.
+    holding all values of a group in one aggregation buffer, and without
+    shuffling the values: a histogram finds the buckets of the wanted order
+    statistics, and only the values in those buckets leave the scan.
     """
-    # rows outside every group go first, so that both uses of the counts share one shuffle
+    # rows outside every group go first
     values = df.na.drop(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("value"))
-    counts = _bucketed(values, by, "value").groupBy(*by, "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    offsets = counts.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_c"))
-    offsets = offsets.select(
-        *by, "_bucket", "_c",
-        _running_before("_c", by, "_bucket").alias("_before"),
-        F.sum("_c").over(W.partitionBy(*by)).alias("_rows"),
-    )
+    bucketed = _bucketed(values, by, "value")
 
     def position(q: float) -> Column:
         return F.lit(q) * (F.col("_rows") - 1)
@@ -129,14 +125,20 @@ def exact_quantiles(
         low, high = F.floor(position(q)), F.ceil(position(q))
         return ((low >= lo) & (low < hi)) | ((high >= lo) & (high < hi))
 
+    histogram = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    buckets = histogram.select(
+        *by, "_bucket", "_c",
+        _running_before("_c", by, "_bucket").alias("_before"),
+        F.sum("_c").over(W.partitionBy(*by)).alias("_rows"),
+    )
     wanted = F.lit(False)
     for q in quantiles.values():
         wanted |= holds(q, F.col("_before"), F.col("_before") + F.col("_c"))
-    inner = _running_before("cnt", [*by, "_bucket"], "value")
-    ranked = (
-        counts.join(offsets.where(wanted), [*by, "_bucket"])
-        .withColumn("_lo", F.col("_before") + inner)
-        .withColumn("_hi", F.col("_lo") + F.col("cnt"))
+    hit = stage(buckets.where(wanted).drop("_c"), "buckets")
+    in_bucket = [*by, "_bucket"]
+    counts = bucketed.join(hit, in_bucket).groupBy(*in_bucket, "_before", "_rows", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = counts.withColumn("_lo", F.col("_before") + _running_before("cnt", in_bucket, "value")).withColumn(
+        "_hi", F.col("_lo") + F.col("cnt")
     )
     aggs = []
     for name, q in quantiles.items():
