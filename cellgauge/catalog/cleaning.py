@@ -218,7 +218,7 @@ def compact(spark, sf):
     return out.select("cell_id", "split", F.coalesce("code", F.lit(-9)).alias("code"), F.coalesce("restored", F.lit("?")).alias("restored"))
 
 
-@query("p27_tile_coordinates", sql("""SELECT cell_id, y + 1000.0 * CAST(sample_id AS INT) AS x, x AS y FROM cells"""))
+@query("p27_tile_coordinates", sql("""SELECT cell_id, CAST(y + 1000 * CAST(sample_id AS INT) AS DOUBLE) AS x, x AS y FROM cells"""))
 def tile(spark, sf):
     from cellgauge.operators.spatial import tile_coordinates
 

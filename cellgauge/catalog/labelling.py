@@ -164,9 +164,10 @@ def marker_rows(spark, sf):
 
 
 def fit_and_predict(rows, label, estimator, hold_out: int = 0):
+    """Train outside the held-out fold, label every row."""
     train, codes = ML.prepare(rows.where(F.col("fold") != hold_out), label)
     model = estimator(train).fit(train)
-    return ML.predict(model, rows.where(F.col("fold") == hold_out), codes).drop("features")
+    return ML.predict(model, rows, codes).drop("features")
 
 
 @query("c04_logistic_regression")
@@ -184,7 +185,7 @@ def boosted(spark, sf):
     rows = marker_rows(spark, sf)
     train, codes = ML.prepare(rows.where("fold <> 0"), "cell_type")
     model = ML.BoostedClasses(maxIter=5, maxDepth=3).fit(train.withColumn("is_validation", F.col("fold") == 1), "is_validation")
-    return ML.predict(model, rows.where("fold = 0"), codes).drop("features")
+    return ML.predict(model, rows, codes).drop("features")
 
 
 @query("c07_neural_network")
@@ -216,9 +217,29 @@ def meta(spark, sf):
     return ML.meta_clusters(vec_rows(spark, sf), 40, 10).select("vec_id", "label", "fine_cluster", "cluster")
 
 
-@query("c11_communities")
+ROUNDS = 6
+
+
+def _communities_sql() -> str:
+    head = """WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS dist FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id),
+      k AS (SELECT src, dst FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10),
+      nb AS (SELECT src, list(dst) || [src] AS ns FROM k GROUP BY src),
+      pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM k),
+      ed AS (SELECT a, b, len(list_intersect(x.ns, y.ns)) / len(list_distinct(x.ns || y.ns))::DOUBLE AS w FROM pr JOIN nb x ON x.src = a JOIN nb y ON y.src = b),
+      bo AS (SELECT a AS id, b AS nb, w FROM ed UNION ALL SELECT b, a, w FROM ed),
+      r0 AS (SELECT DISTINCT id, id AS community FROM bo)"""
+    for r in range(ROUNDS):
+        head += f""",
+      v{r} AS (SELECT bo.id, community, round(sum(w), 9) AS w FROM bo JOIN r{r} ON r{r}.id = bo.nb GROUP BY 1, 2),
+      b{r} AS (SELECT id, community AS best FROM v{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, md5(concat('42-', community))) = 1),
+      r{r + 1} AS (SELECT id, CASE WHEN CAST(concat('0x', substr(md5(CAST(id AS VARCHAR)), 1, 1)) AS INT) % 2 = {r % 2} THEN best ELSE community END AS community
+                   FROM r{r} JOIN b{r} USING (id))"""
+    return sql(f"{head} SELECT id, community FROM r{ROUNDS}", "vecs")
+
+
+@query("c11_communities", _communities_sql())
 def communities(spark, sf):
-    return V.communities(fx.vectors(spark, sf), "vec_id", "embedding", k=10, rounds=6)
+    return V.communities(fx.vectors(spark, sf), "vec_id", "embedding", k=10, rounds=ROUNDS)
 
 
 @query("c12_principal_components")

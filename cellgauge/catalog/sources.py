@@ -115,7 +115,7 @@ def read_line_labels(spark, sf):
 
 
 @query("s08_read_decision_matrix", """SELECT p_brand AS cell_type, p_type AS marker,
-    CASE WHEN max(p_size) >= 49 THEN 1.0 WHEN min(p_size) <= 4 THEN -1.0 ELSE 0.0 END AS weight
+    CAST(CASE WHEN max(p_size) >= 49 THEN 1 WHEN min(p_size) <= 4 THEN -1 ELSE 0 END AS DOUBLE) AS weight
   FROM part GROUP BY 1, 2 HAVING count(*) % 4 <> 0""")
 def read_decision_matrix(spark, sf):
     path = scratch_path(spark, "matrix")

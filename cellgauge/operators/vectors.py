@@ -189,7 +189,7 @@ def label_propagation(edges: DataFrame, rounds: int = 8, seed: int = 42) -> Data
         votes = near.groupBy("id", "community").agg(F.round(F.sum("weight"), 9).alias("_w"))
         tie = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("community").cast("string")))
         best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("_w"), tie)).alias("_new"))
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
+        moves = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 1), 16, 10).cast("int") % 2 == r % 2
         labels = stage(
             labels.join(best, "id", "left").select(
                 "id", F.when(moves, F.coalesce("_new", "community")).otherwise(F.col("community")).alias("community")
