@@ -13,6 +13,7 @@ from cellgauge.operators import signatures as G
 from cellgauge.operators import spatial as SP
 from cellgauge.operators import vectors as V
 from cellgauge.operators.metrics import confusion_counts, label_metrics
+from cellgauge.plans.labelling import cluster_and_transfer, make_folds, train_and_evaluate
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -254,6 +255,21 @@ def runner(spark, sf):
     return rounded(label_metrics(counts, ["fold"]).select("fold", "n_rows", "macro_f1", "f1_weighted", "accuracy"))
 
 
+@query("c19_train_and_evaluate")
+def train_evaluate(spark, sf):
+    cells = fx.cells(spark, sf).select("cell_id", "sample_id", "cell_type", *fx.MARKERS)
+    folds = make_folds(cells, "cell_type", ["cell_id"], "sample_id", 3)
+    _, metrics = train_and_evaluate(folds, "cell_type", fx.MARKERS, lambda t, s: ML.logistic_regression(maxIter=10).fit(t))
+    return rounded(metrics.select("fold", "n_rows", "macro_f1", "f1_weighted", "accuracy"))
+
+
+@query("c11_cluster_and_transfer")
+def cluster_transfer(spark, sf):
+    vec = fx.vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
+    n = max(50, vec.count() // 2)
+    return cluster_and_transfer(vec, "vec_id", "embedding", "label", rows=n, k=10, rounds=4)
+
+
 @query("m19_learning_curve")
 def curve(spark, sf):
     rows = marker_rows(spark, sf)

@@ -99,9 +99,9 @@ def mean_times(spark, sf):
   {r6('0.5 * CASE run WHEN 0 THEN 0.25 WHEN 1 THEN 0.75 ELSE 1.0 END + 0.5 * greatest(0, 1 - sum(seconds) * 60 / 86400)')} AS scalability
   FROM times GROUP BY run""")
 def scalability(spark, sf):
-    automation = F.when(F.col("run") == 0, 0.25).when(F.col("run") == 1, 0.75).otherwise(1.0)
+    automation = spark.createDataFrame([(0, 0.25), (1, 0.75), (2, 1.0)], "run bigint, automation double")
     total = times(spark, sf).groupBy("run").agg((F.sum("seconds") * 60).alias("seconds"))
-    return rounded(total.select("run", L.scalability(automation, "seconds").alias("scalability")))
+    return rounded(L.add_scalability(total, automation, "seconds", "run").select("run", "scalability"))
 
 
 # -- scores ----------------------------------------------------------------

@@ -23,6 +23,13 @@ def read_quant(spark, sf):
     return S.read_quant(spark, path, CELLS)
 
 
+@query("s01_quant_to_parquet", with_ctes("SELECT cell_id, sample_id, m1 FROM cells WHERE m1 > 20", "cells"))
+def quant_to_parquet(spark, sf):
+    path = scratch_path(spark, "quant")
+    fx.cells(spark, sf).select(*NAMES).write.option("header", True).csv(path)
+    return S.quant_to_parquet(spark, path, scratch_path(spark, "quant_parquet"), CELLS).where("m1 > 20").select("cell_id", "sample_id", "m1")
+
+
 @query("s02_read_predictions", with_ctes(
     """SELECT 'tissue_a' AS dataset, method, 'level3' AS level, CAST(fold AS VARCHAR) AS fold, cell_id, true_phenotype, predicted_phenotype FROM preds""", "preds"))
 def read_predictions(spark, sf):

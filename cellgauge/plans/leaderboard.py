@@ -52,6 +52,14 @@ def scalability(automation: str | Column, seconds: str | Column) -> Column:
     return 0.5 * automation + 0.5 * F.greatest(F.lit(0.0), 1 - seconds / SECONDS_PER_DAY)
 
 
+def add_scalability(
+    summary: DataFrame, automation: DataFrame, seconds: str = "inference_time", name: str = "method", out: str = "scalability"
+) -> DataFrame:
+    """Scalability from a table ``method, automation``; null for a method without an entry."""
+    scores = automation.select(name, F.col("automation").alias("_automation"))
+    return summary.join(scores, name, "left").withColumn(out, scalability("_automation", seconds)).drop("_automation")
+
+
 def weighted_sum(weights: Mapping[str, float], suffix: str = "") -> Column:
     terms = [F.col(f"{m}{suffix}") * w for m, w in weights.items()]
     return sum(terms[1:], terms[0])

@@ -48,6 +48,21 @@ def concat_files(
     return out
 
 
+def quant_to_parquet(spark: SparkSession, csv_path: str, path: str, schema: T.StructType | str) -> DataFrame:
+    """Convert a measurement CSV once; later reads prune columns and push filters down."""
+    read_quant(spark, csv_path, schema).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _write_foldered(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """A Parquet folder per value of ``by``.
+
+    Rebalancing brings the rows of a folder together, so that the number of files
+    does not grow with tasks times folders; a folder with many rows is split.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
 
@@ -72,7 +87,7 @@ def read_predictions(spark: SparkSession, root: str, schema: T.StructType | str)
 
 def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "method", "level", "fold")) -> None:
     """One folder per dataset, method, level and fold; readers prune by them."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    _write_foldered(df, path, by)
 
 
 # -- timings ---------------------------------------------------------------
@@ -154,7 +169,7 @@ def read_image_folds(spark: SparkSession, path: str, multiline: bool = True) ->
 
 def write_folds(df: DataFrame, path: str) -> None:
     """One table for all folds and splits; a reader of one fold reads only its folder."""
-    df.write.mode("overwrite").partitionBy("fold", "split").parquet(path)
+    _write_foldered(df, path, ("fold", "split"))
 
 
 # -- labels per line -------------------------------------------------------
@@ -277,7 +292,7 @@ def hierarchy_map(quant: DataFrame, label: str = "cell_type", levels: Sequence[s
 
 def write_embeddings(df: DataFrame, path: str, image: str = "image") -> None:
     """Vectors and their metadata in one table, a folder per image."""
-    df.write.mode("overwrite").partitionBy(image).parquet(path)
+    _write_foldered(df, path, (image,))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

@@ -128,3 +128,33 @@ def test_feature_checks(spark):
     with pytest.raises(Exception, match="null in feature m"):
         check_features(df, ["m"]).collect()
     assert split_columns(df, "s") == (["m"], ["s"]) and split_columns(df, "s", inclusive=True) == (["m", "s"], [])
+
+
+def test_train_and_evaluate(blobs):
+    from cellgauge.plans.labelling import fold_report, make_folds, train_and_evaluate
+
+    df = blobs.select("id", "cls", "m1", "m2", "m3", (F.col("id") % 30).alias("grp"))
+    folds = make_folds(df, "cls", ["id"], "grp", 3)
+    parts = {(r.fold, r.split): r["count"] for r in folds.groupBy("fold", "split").count().collect()}
+    assert len(parts) == 9 and sum(v for (f, s), v in parts.items() if s == "test") == 400
+    leaks = folds.where("split = 'test'").select("fold", "grp").intersect(folds.where("split <> 'test'").select("fold", "grp"))
+    assert leaks.count() == 0
+    preds, metrics = train_and_evaluate(folds, "cls", ["m1", "m2", "m3"], lambda t, s: ML.logistic_regression(maxIter=10).fit(t))
+    assert preds.count() == 400 and accuracy(preds) > 0.9
+    assert fold_report(metrics).first().accuracy_mean > 0.9
+
+
+def test_cluster_and_transfer(blobs):
+    from cellgauge.plans.labelling import cluster_and_transfer
+
+    df = blobs.select("id", "cls", F.array("m1", "m2", "m3").alias("v"))
+    out = cluster_and_transfer(df, "id", "v", "cls", rows=250, k=10)
+    assert out.count() == 400 and accuracy(out) > 0.85
+
+
+def test_matrix_from_table(spark, monkeypatch):
+    df = spark.createDataFrame([("t", "m1", 1.0), ("t", "m2", -1.0)], "cell_type string, marker string, weight double")
+    assert G.matrix_from_table(df) == {"t": {"m1": 1.0, "m2": -1.0}}
+    monkeypatch.setattr(G, "MATRIX_CELLS", 1)
+    with pytest.raises(ValueError):
+        G.matrix_from_table(df)
