@@ -34,19 +34,25 @@ HEADLINE = (
 )
 
 
+def shuffled(spark) -> int:
+    """Shuffle bytes written since the session started."""
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench", **{"spark.sql.shuffle.partitions": str(cpus if cpus.isdigit() else 8)})
-    registered, seconds = queries(), {}
+    registered, seconds, shuffle_mb = queries(), {}, {}
     for name in HEADLINE:
         for _ in range(2):
-            start = time.perf_counter()
+            start, written = time.perf_counter(), shuffled(spark)
             registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+            shuffle_mb[name] = round((shuffled(spark) - written) / 2**20, 2)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
+        "shuffle_mb": shuffle_mb, "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
     }))
     spark.stop()
 

@@ -37,8 +37,8 @@ def read_predictions(spark, sf):
     preds = fx.predictions(spark, sf).select(
         F.lit("tissue_a").alias("dataset"), "method", F.lit("level3").alias("level"),
         F.concat(F.lit("predictions_"), "fold", F.lit(".csv")).alias("file"), "cell_id", "true_phenotype", "predicted_phenotype")
-    preds.write.option("header", True).partitionBy("dataset", "method", "level", "file").csv(path)
-    return S.read_predictions(spark, path, "cell_id bigint, true_phenotype string, predicted_phenotype string")
+    preds.hint("rebalance", "method", "file").write.option("header", True).partitionBy("dataset", "method", "level", "file").csv(path)
+    return S.read_predictions(spark, path, "cell_id bigint, true_phenotype string, predicted_phenotype string", folders=True)
 
 
 @query("s03_concat_files", with_ctes(

@@ -16,8 +16,11 @@ from cellgauge.operators.cleaning import expand_range, nan_to_null
 
 
 def read_quant(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A measurement CSV; NaN becomes null, ``sample_id`` text and ``cell_id`` bigint."""
-    reader = spark.read.option("header", True)
+    """A measurement CSV; NaN becomes null, ``sample_id`` text and ``cell_id`` bigint.
+
+    A given schema must name the columns of the header in their order, else reading fails.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     casts = {c: F.col(c).cast(t) for c, t in (("sample_id", "string"), ("cell_id", "bigint")) if c in df.columns}
     return nan_to_null(df.withColumns(casts) if casts else df)
@@ -41,7 +44,7 @@ def concat_files(
     parts = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for p in parts:
-        reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True)
         df = reader.schema(schema).csv(p) if schema is not None else reader.option("inferSchema", True).csv(p)
         df = df.withColumn("sample_id", sample_of(F.col("_metadata.file_path"), folders))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
@@ -70,19 +73,31 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 # -- predictions -----------------------------------------------------------
 
 
-def read_predictions(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """All ``<dataset>/<method>/<level>/predictions_<fold>.csv`` below ``root`` in one scan.
+def read_predictions(
+    spark: SparkSession, roots: str | Sequence[str], schema: T.StructType | str, folders: bool = False
+) -> DataFrame:
+    """All ``<dataset>/<method>/<level>/predictions_<fold>.csv`` files below the roots.
 
-    The parts may be written as ``key=value``, and a prediction file may be a
-    folder of part files.
+    Columns are found by name and cast to ``schema``; one that a root's files
+    lack is null. The files of one root share their columns: give several roots
+    for several layouts. With ``folders`` a prediction file is a folder of part
+    files, and path parts may be written ``key=value``.
     """
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(root)
-    path = F.col("_metadata.file_path")
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     part = r"(?:[^/=]+=)?([^/]+)/"
     pattern = part * 3 + r"(?:[^/=]+=)?predictions_?([^/]*?)\.csv(?:/[^/]+)?$"
-    return df.where(path.rlike(pattern)).withColumns({
-        name: F.regexp_extract(path, pattern, i + 1) for i, name in enumerate(("dataset", "method", "level", "fold"))
-    })
+    names = ("dataset", "method", "level", "fold")
+    out = None
+    for root in [roots] if isinstance(roots, str) else roots:
+        reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+        raw = (reader if folders else reader.option("pathGlobFilter", "predictions*.csv")).csv(root)
+        path = F.col("_metadata.file_path")
+        found = raw.where(path.rlike(pattern)).select(
+            *[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted],
+            *[F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)],
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "method", "level", "fold")) -> None:
@@ -305,7 +320,3 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def mapping_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
     """A rename dictionary as a table ``old, new``."""
     return spark.createDataFrame(list(mapping.items()), "old string, new string")
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)

@@ -40,6 +40,24 @@ def test_prediction_layout(spark, tmp_path):
     assert sorted((r.dataset, r.method, r.level, r.fold) for r in rows) == [("tissue", "alpha", "level3", "2"), ("tissue", "beta", "level3", "2")]
 
 
+def test_prediction_columns_are_found_by_name(spark, tmp_path):
+    texts = {"one": "true_phenotype,predicted_phenotype\na,b\n", "two": "confidence,predicted_phenotype,true_phenotype\n0.5,b,a\n"}
+    for name, text in texts.items():
+        d = tmp_path / name / "tissue" / name / "level3"
+        d.mkdir(parents=True)
+        (d / "predictions_0.csv").write_text(text)
+    roots = [str(tmp_path / n) for n in texts]
+    rows = S.read_predictions(spark, roots, "true_phenotype string, predicted_phenotype string, confidence double").collect()
+    assert sorted((r.method, r.true_phenotype, r.predicted_phenotype, r.confidence or 0) for r in rows) == [
+        ("one", "a", "b", 0), ("two", "a", "b", 0.5)]
+
+
+def test_header_must_fit_the_schema(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("m1,cell_id\n2.5,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_quant(spark, str(tmp_path / "s.csv"), "cell_id bigint, m1 double").collect()
+
+
 def test_fold_times(spark, tmp_path):
     (tmp_path / "fold_times.txt").write_text(
         "Fold 1 training_time: 12.34\nFold 1 inference_time, 1.5 seconds\nnote\nFold 1 training_time: 10\n"
