@@ -22,6 +22,10 @@ def local_session(cpus: int | str = "*", app: str = "cellgauge", **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # long test sessions: keep few finished plans and stages in memory
+        "spark.sql.ui.retainedExecutions": "20",
+        "spark.ui.retainedJobs": "100",
+        "spark.ui.retainedStages": "100",
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
