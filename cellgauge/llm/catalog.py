@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.llm.mixing import mix_plan
+from cellgauge.llm.quality import quality_rules
+from cellgauge.llm.tokens import token_counts
 from cellgauge.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,22 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_documents(table(spark, sf_dir, "labels")))
+
+
 @query("op8_mix_sources", r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
