@@ -56,7 +56,7 @@ def _shrunk(children: DataFrame, parents: DataFrame, parent_key: str, out: str)
         F.sum(mean * (1 - mean)).alias("noise"),
         F.sum(mean * (1 - mean) * (n - 1)).alias("room"),
     ).select(F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.coalesce(F.try_divide(F.col("seen") - F.col("noise"), F.col("room")), F.lit(0.001)))).alias("rho"))
-    fitted = joined.crossJoin(spread.select((1 / F.col("rho") - 1).alias("strength")))  # one row beside each child
+    fitted = joined.withColumn("strength", spread.select((1 / F.col("rho") - 1).alias("strength")).scalar())
     return fitted.withColumn(out, (k + F.col("strength") * mean) / (n + F.col("strength"))).drop("mean")
 
 
