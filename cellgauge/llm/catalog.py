@@ -12,6 +12,7 @@ from cellgauge.llm.mixing import mix_plan
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.tokens import token_counts
 from cellgauge.llm.urls import judge_urls
+from cellgauge.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return read_archives(write_archives(pages, archive_folder(pages)), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def trusted_documents(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and toxic = 0").select("doc_id")
 
