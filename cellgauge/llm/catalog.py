@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
 from cellgauge.llm.quality import quality_rules
+from cellgauge.llm.simhash import simhash_components
 from cellgauge.llm.tokens import token_counts
 from cellgauge.llm.urls import judge_urls
 from cellgauge.llm.warc import archive_folder, read_archives, write_archives
@@ -39,6 +40,11 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
 
 
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
