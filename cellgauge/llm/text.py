@@ -79,6 +79,13 @@ class Texts:
         """A-Z in lower case."""
         return Texts(_FOLD[self.buf], self.at)
 
+    def folded_latin(self) -> Texts:
+        """A-Z and the accented capitals of Latin-1 in lower case."""
+        buf = _FOLD[self.buf]
+        capital = np.flatnonzero((buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)) + 1
+        buf[capital] += 0x20
+        return Texts(buf, self.at)
+
     def slice(self, i: int) -> bytes:
         return self.buf[self.at[i]: self.at[i + 1]].tobytes()
 
