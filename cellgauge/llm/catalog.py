@@ -12,6 +12,7 @@ from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.simhash import simhash_components
+from cellgauge.llm.suffixes import substring_dedup
 from cellgauge.llm.tokens import token_counts
 from cellgauge.llm.urls import judge_urls
 from cellgauge.llm.warc import archive_folder, read_archives, write_archives
@@ -69,6 +70,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(pages, archive_folder(pages)), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def trusted_documents(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and toxic = 0").select("doc_id")
 
