@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm.contamination import contaminations
 from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
+from cellgauge.llm.passages import shared_passages
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.simhash import simhash_components
 from cellgauge.llm.suffixes import substring_dedup
@@ -116,6 +117,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_passages")
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op10_url_filter", r"""
 with p as (
   select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

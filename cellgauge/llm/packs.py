@@ -26,12 +26,28 @@ def pack_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def packed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(pack, _id, _text), each pack in a partition of its own. Null ids become the largest, null texts empty."""
+def pack_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """The packs of documents: their ids' XXH64 with seed 42 modulo ``n``, as ``packed`` has it."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
+    h = np.full(len(doc), (42 + 8 + int(p5)) & 0xFFFFFFFFFFFFFFFF, np.uint64) ^ turn(doc.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return np.mod((h ^ h >> np.uint64(32)).view(np.int64), n)
+
+
+def packed(docs: DataFrame, id_col: str, text: str, rest: bool = False) -> DataFrame:
+    """(pack, _id, _text), each pack in a partition of its own. Null ids become the largest, null texts empty.
+
+    ``rest`` adds the other columns as a struct, with _told where the text isn't null.
+    """
     n = pack_count(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.repartitionById(n, F.col("pack"))
+    rows = [F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")]
+    if rest:
+        rows.append(F.struct(*(F.col(c) for c in docs.columns if c != text), F.when(F.col(text).isNotNull(), True).alias("_told")).alias("rest"))
+    return docs.select(*rows).repartitionById(n, F.col("pack"))
 
 
 def by_pack(rows: DataFrame) -> DataFrame:
