@@ -74,7 +74,7 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint(shingle: int, minima: int):
+def _fingerprint(shingle: int, minima: int, keep: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, least, total = [], [], []
@@ -91,7 +91,7 @@ def _fingerprint(shingle: int, minima: int):
             least = np.concatenate(least).ravel() if least else np.zeros(0, np.uint64)
             n = np.concatenate(total) if total else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) + 1, minima) if minima else np.zeros(len(fp) + 1, np.int64), pa.int32()), pa.array(least.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([id_array(ids(batch.column("_id"))), pa.array(fp.view(np.int64)), pa.array(n, pa.int64()), lists], ["_id", "fp", "n_shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([id_array(ids(batch.column("_id"))), pa.array(fp.view(np.int64)), pa.array(n, pa.int64()), lists, *(batch.column(c) for c in keep)], ["_id", "fp", "n_shingles", "minima", *keep])
 
     return run
 
@@ -184,13 +184,14 @@ def _compare(radius: int, first_only: bool):
         key, fp, vertex = key[order], fp[order], vertex[order]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in close_pairs(fp, key, radius):
-            if first_only:  # the first close one of the bucket for each
-                order = np.lexsort((i, j))
-                i, j = i[order], j[order]
-                lead = np.concatenate(([True], j[1:] != j[:-1]))[: len(j)]
-                i, j = vertex[i[lead]], vertex[j[lead]]
-            else:
-                i, j = forest(vertex[i], vertex[j])
+            if first_only:  # for each the first close one of the bucket, and the closest
+                for rank in (i, np.bitwise_count(fp[i] ^ fp[j])):
+                    order = np.lexsort((i, rank, j))
+                    lead = order[np.concatenate(([True], np.diff(j[order]) != 0))[: len(j)]]
+                    a.append(vertex[i[lead]])
+                    b.append(vertex[j[lead]])
+                continue
+            i, j = forest(vertex[i], vertex[j])
             a.append(i)
             b.append(j)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -233,3 +234,54 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, block
     found = keyed.join(stars, keyed["vertex"] == stars["member"], "left").select("fp", F.coalesce("component", "vertex").alias("component"))
     out = hashed.join(found, "fp")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for _, part in Texts.of(batch.column("_text")).chunks(1 << 20):
+                h, count = _shingle_hashes(part, shingle)
+                sets += [np.unique(own).view(np.int64) for own in np.split(h, np.cumsum(count)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("_vertex"), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "shingles"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 16, shingle: int = 5, minima: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each id with the digest of its text and the component, the least id of its group of copies and near copies.
+
+    Two texts are linked when the Jaccard similarity of their shingle sets is
+    at least ``similarity``. Fingerprints that far apart need a wide radius,
+    for which blocks of bits would make useless buckets; so buckets are pairs
+    of ``minima`` minima of the shingle hashes, of which 8 miss one pair of
+    texts in 10,000 at similarity 0.8. The bit-sliced comparison finds, for
+    each text, the first and the closest within ``radius`` of each bucket, and
+    the similarity of these pairs is then computed exactly. Copies of a text
+    are one vertex. Null texts count as empty; rows without id are left out.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    digests = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), body.alias("_text"), F.md5(body).alias("digest"))
+    made = digests.mapInArrow(_fingerprint(shingle, minima, ("digest",)), "_id bigint, fp bigint, n_shingles bigint, minima array<bigint>, digest string")
+    hashed = stage(made, "fingerprints")
+    texts = stage(hashed.groupBy("digest").agg(F.min("_id").alias("vertex"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n"), F.first("minima").alias("minima")), "texts")
+    pairs = [F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i, j in combinations(range(minima), 2)]
+    links = stage(_bucketed(texts.filter("n > 0").select("fp", "vertex", F.explode(F.array(*pairs)).alias("key")), radius, True).distinct(), "links")
+    linked = links.select(F.col("a").alias("_vertex")).union(links.select("b")).distinct()
+    own = digests.select("_id", "_text", F.col("digest").alias("d"))
+    found = texts.join(linked, texts["vertex"] == linked["_vertex"], "left_semi").select("vertex", "digest")
+    # an id on several rows must bring the text that its vertex stands for
+    wanted = own.join(found.hint("shuffle_hash"), (own["_id"] == found["vertex"]) & (own["d"] == found["digest"])).select(F.col("vertex").alias("_vertex"), "_text")
+    sets = wanted.mapInArrow(_shingle_sets(shingle), "vertex bigint, shingles array<bigint>")
+    left, right = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    close = links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    stars = components(close)
+    copies = hashed.join(texts.select("digest", "vertex"), "digest").join(stars, F.col("vertex") == F.col("member"), "left")
+    return copies.select(F.col("_id").alias(id_col), "digest", F.coalesce("component", "vertex").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``docs`` with one document of each group of ``near_copies``, that of the least id; rows without id stay."""
+    gone = near_copies(docs, id_col=id_col, text=text, **settings).filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
+    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_digest")), "left_anti")
