@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm.text import SPACE, Texts, gram_hash, id_array, ids, inside, span_hash, sums
 
 BUCKETS = 1 << 14
+TRUSTED_ROWS = 20_000
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -38,34 +39,34 @@ def _grams(part: Texts, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield (gram_hash(words, n)[at] % np.uint64(buckets)).astype(np.int64), np.searchsorted(first, at, side="right") - 1
 
 
-def _count(buckets: int):
+def _count(buckets: int, trusted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            good = batch.column("_trusted").to_numpy(zero_copy_only=False).astype(bool)
+            told = np.isin(ids(batch.column("_id")), trusted)
             for k, part in Texts.of(batch.column("_text")).chunks():
                 for at, doc in _grams(part, buckets):
                     raw += np.bincount(at, minlength=buckets)
-                    trusted += np.bincount(at[good[k + doc]], minlength=buckets)
+                    good += np.bincount(at[told[k + doc]], minlength=buckets)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], ["bucket", "raw", "trusted"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "trusted"])
 
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text: str = "text") -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text: str = "text") -> np.ndarray:
     """log(trusted share / corpus share) per bucket, add-one smoothed; all zero without trusted documents.
 
-    ``trusted`` lists ids; nulls and ids that aren't in ``docs`` say nothing.
+    ``trusted`` lists ids. If there are more than ``trusted_rows``, those first
+    by a hash of the id are taken; the corpus is always counted whole. Nulls
+    and ids that aren't in ``docs`` say nothing.
     """
-    marks = trusted.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
-    told = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    # trusted rows come by a join, all rows by the scan: no text is shuffled for the corpus counts
-    near = told.join(marks, "_id", "left_semi").select("_text", F.lit(True).alias("_trusted"))
-    counts = [part.mapInArrow(_count(buckets), "bucket bigint, raw bigint, trusted bigint") for part in (told.select("_text", F.lit(False).alias("_trusted")), near)]
+    marks = trusted.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
+    chosen = np.array(sorted(row[0] for row in marks.collect()), np.int64)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    counted = rows.mapInArrow(_count(buckets, chosen), "bucket bigint, raw bigint, trusted bigint")
     raw, good = np.ones(buckets), np.ones(buckets)
-    summed = counts[0].select("bucket", "raw", F.lit(0).alias("trusted")).unionByName(counts[1].select("bucket", F.lit(0).alias("raw"), "trusted"))
-    for row in summed.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():  # at most ``buckets`` rows
+    for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():  # at most ``buckets`` rows
         raw[row.bucket] += row.raw
         good[row.bucket] += row.trusted
     return np.log(good / good.sum()) - np.log(raw / raw.sum()) if good.sum() > buckets else np.zeros(buckets)
@@ -132,7 +133,7 @@ def _score(ratios: np.ndarray):
     return run
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = -0.15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float = -0.15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     ``score`` is the mean log ratio over words and word pairs (0 for a text
@@ -140,12 +141,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     below ``threshold``. Without trusted documents every score is 0. Null
     texts have no words, null ids stay null, repeated rows are judged each.
     """
-    ratios = log_ratios(docs, trusted, buckets, id_col, text)
+    ratios = log_ratios(docs, trusted, buckets, trusted_rows, id_col, text)
     scored = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(_score(ratios), f"_id bigint, {BASE}, score double")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).withColumnRenamed("_id", id_col)
 
 
-def good_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is kept; with an id on several rows, all of them must be."""
-    verdict = quality_rules(docs, trusted, id_col=id_col, **settings).groupBy(F.col(id_col).alias("_id")).agg(F.bool_and("kept").alias("_kept")).filter("_kept")
-    return docs.join(verdict, F.col(id_col).eqNullSafe(F.col("_id"))).select(*docs.columns)
+def good_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float = -0.15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, dropped where they are read: nothing is shuffled."""
+    score = _score(log_ratios(docs, trusted, buckets, trusted_rows, id_col, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = next(score(iter([pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text)], ["_id", "_text"])])))
+            failed, found = (judged.column(c).to_numpy(zero_copy_only=False) for c in ("base_failed", "score"))
+            yield batch.filter(pa.array(~failed.astype(bool) & (found >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
