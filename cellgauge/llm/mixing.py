@@ -89,5 +89,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFram
     A column named epoch is replaced.
     """
     times = mix_plan(docs, id_col=id_col, **settings).groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0")
-    joined = docs.drop("epoch").join(times, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).drop("_id", "_repeats")
+    joined = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
+    epoch = F.explode(F.sequence(F.lit(1).cast("long"), times["_repeats"])).alias("epoch")
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns if c != "epoch"), epoch)

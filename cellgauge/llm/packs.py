@@ -40,13 +40,13 @@ def pack_of(doc: np.ndarray, n: int) -> np.ndarray:
 def packed(docs: DataFrame, id_col: str, text: str, rest: bool = False) -> DataFrame:
     """(pack, _id, _text), each pack in a partition of its own. Null ids become the largest, null texts empty.
 
-    ``rest`` adds the other columns as a struct, with _told where the text isn't null.
+    ``rest`` adds the other columns as a struct, and last in it _told, which is null where the text is.
     """
     n = pack_count(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))
     rows = [F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")]
     if rest:
-        rows.append(F.struct(*(F.col(c) for c in docs.columns if c != text), F.when(F.col(text).isNotNull(), True).alias("_told")).alias("rest"))
+        rows.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.when(F.col(text).isNotNull(), True).alias("_told")).alias("rest"))
     return docs.select(*rows).repartitionById(n, F.col("pack"))
 
 
