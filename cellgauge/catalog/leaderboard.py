@@ -43,6 +43,30 @@ def board(spark, sf):
     return rounded(leaderboard(fx.predictions(spark, sf), fx.label_dim(spark, sf), fx.ancestors(spark, sf)))
 
 
+# two datasets, with runtimes and automation; the dataset rides in the method's name through the metric SQL
+DATASETS = HEAD.replace("FROM preds", "FROM two").replace("WITH ", """WITH two AS (SELECT * REPLACE (concat(CASE WHEN cell_id % 3 = 0 THEN 'a' ELSE 'b' END, '/', method) AS method) FROM preds),
+""", 1)
+
+
+@query("l00_leaderboard_datasets", with_ctes(f"""{DATASETS},
+au AS (SELECT * FROM (VALUES ('m_a', 1.0), ('m_b', 0.5)) v(name, automation)),
+tm AS (SELECT method, avg(seconds) AS seconds FROM (SELECT method, fold * 1000.0 + length(method) AS seconds FROM (SELECT DISTINCT method, fold FROM two)) GROUP BY method),
+sc AS (SELECT ms.*, {STAB} AS stability, {OVERALL} AS overall, 0.5 * automation + 0.5 * greatest(0, 1 - seconds / 86400.0) AS scalability
+       FROM ms LEFT JOIN tm USING (method) LEFT JOIN au ON au.name = split_part(ms.method, '/', 2)),
+av AS (SELECT *, list_avg([{', '.join([*SHOWN, 'overall', 'stability', 'scalability'])}]) AS average FROM sc)
+SELECT split_part(method, '/', 1) AS dataset, level,
+  CAST(row_number() OVER (PARTITION BY split_part(method, '/', 1), level ORDER BY round(average, 12) DESC, method) AS INT) AS rank, split_part(method, '/', 2) AS method,
+  {', '.join(f'{r6(c)} AS {c}' for c in [*SHOWN, 'overall', 'stability', 'scalability', 'average'])} FROM av""", "preds"))
+def board_of_datasets(spark, sf):
+    preds = fx.predictions(spark, sf).withColumn("dataset", F.when(F.col("cell_id") % 3 == 0, "a").otherwise("b"))
+    # a second folder with coarse labels, which the finest level replaces
+    coarse = preds.withColumn("predicted_phenotype", F.col("level_1_cell_type"))
+    both = preds.withColumn("level", F.lit("level3")).unionByName(coarse.withColumn("level", F.lit("level1")))
+    times = preds.select("dataset", "method", "fold").distinct().select("dataset", "method", F.lit("inference_time").alias("event"), (F.col("fold") * 1000.0 + 5).alias("seconds"))
+    automation = spark.createDataFrame([("m_a", 1.0), ("m_b", 0.5)], "method string, automation double")
+    return rounded(leaderboard(both, fx.label_dim(spark, sf), fx.ancestors(spark, sf), times=times, automation=automation))
+
+
 @query("a03_mean_std_over_folds", sql(
     f"SELECT method, level, {', '.join(f'{r6(f'{m}_{s}')} AS {m}_{s}' for m in METRICS for s in ('mean', 'std'))} FROM ms"))
 def mean_std_folds(spark, sf):

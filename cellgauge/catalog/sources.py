@@ -41,6 +41,23 @@ def read_predictions(spark, sf):
     return S.read_predictions(spark, path, "cell_id bigint, true_phenotype string, predicted_phenotype string", folders=True)
 
 
+@query("s02_mixed_layouts", with_ctes(
+    """SELECT CASE WHEN cell_id % 2 = 0 THEN 'tissue_a' ELSE 'tissue_b' END AS dataset, method, CAST(fold AS VARCHAR) AS fold, cell_id, true_phenotype, predicted_phenotype,
+       CASE WHEN method = 'm_b' THEN (cell_id % 10) / 10.0 END AS confidence FROM preds""", "preds"))
+def read_mixed_layouts(spark, sf):
+    # one root; each method's files have columns and an order of their own
+    path = scratch_path(spark, "results")
+    layouts = {"m_a": ["cell_id", "true_phenotype", "predicted_phenotype"], "m_b": ["predicted_phenotype", "confidence", "cell_id", "true_phenotype"], "m_c": ["true_phenotype", "predicted_phenotype", "cell_id"]}
+    preds = fx.predictions(spark, sf).withColumn("confidence", F.col("cell_id") % 10 / 10)
+    folder = F.when(F.col("cell_id") % 2 == 0, "tissue_a").otherwise("tissue_b")
+    for method, columns in layouts.items():
+        part = preds.where(F.col("method") == method).select(
+            folder.alias("dataset"), "method", F.lit("level3").alias("level"), F.concat(F.lit("predictions_"), "fold", F.lit(".csv")).alias("file"), *columns)
+        part.hint("rebalance", "dataset", "file").write.mode("append").option("header", True).partitionBy("dataset", "method", "level", "file").csv(path)
+    out = S.read_predictions(spark, path, "cell_id bigint, true_phenotype string, predicted_phenotype string, confidence double", folders=True)
+    return out.drop("level")
+
+
 @query("s03_concat_files", with_ctes(
     """SELECT sample_id, cell_id, m1, NULL::DOUBLE AS m2 FROM cells WHERE cell_type <> 'error'
        UNION ALL SELECT sample_id, cell_id, m1, m2 FROM cells WHERE cell_type = 'error'""", "cells"))
@@ -121,6 +138,19 @@ def read_line_labels(spark, sf):
     return S.read_line_labels(spark, path, sizes, folders=True)
 
 
+@query("s07_remapped_line_labels", with_ctes(
+    """WITH n AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY cell_id) AS pos, CAST(m3 AS INT) - 1 AS code FROM cells)
+       SELECT sample_id, pos AS cell_id, CASE WHEN code IN (3, 50) THEN -1 ELSE code END AS code FROM n""", "cells"))
+def remapped_line_labels(spark, sf):
+    # sizes are known for a few samples only
+    path = scratch_path(spark, "labels")
+    cells = fx.cells(spark, sf)
+    cells.select("sample_id", "cell_id", (F.col("m3").cast("int") - 1).cast("string").alias("value")).repartitionByRange(
+        "sample_id", "cell_id").sortWithinPartitions("sample_id", "cell_id").select("sample_id", "value").write.partitionBy("sample_id").text(path)
+    sizes = cells.where("sample_id < '15'").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return S.read_line_labels(spark, path, sizes, folders=True, unlabelled=[3, 50])
+
+
 @query("s08_read_decision_matrix", """SELECT p_brand AS cell_type, p_type AS marker,
     CAST(CASE WHEN max(p_size) >= 49 THEN 1 WHEN min(p_size) <= 4 THEN -1 ELSE 0 END AS DOUBLE) AS weight
   FROM part GROUP BY 1, 2 HAVING count(*) % 4 <> 0""")

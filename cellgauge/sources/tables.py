@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -73,24 +74,41 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 # -- predictions -----------------------------------------------------------
 
 
+def _files_by_header(spark: SparkSession, roots: str | Sequence[str], glob: str | None = None) -> list[list[str]]:
+    """The files below the roots, one list per first line; empty files are left out.
+
+    File names alone reach the driver, as in any listing; first lines are found
+    in the files' first blocks.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.text([roots] if isinstance(roots, str) else list(roots)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    found = heads.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    return [[unquote(f) for f in row.files] for row in found]
+
+
 def read_predictions(
     spark: SparkSession, roots: str | Sequence[str], schema: T.StructType | str, folders: bool = False
 ) -> DataFrame:
     """All ``<dataset>/<method>/<level>/predictions_<fold>.csv`` files below the roots.
 
-    Columns are found by name and cast to ``schema``; one that a root's files
-    lack is null. The files of one root share their columns: give several roots
-    for several layouts. With ``folders`` a prediction file is a folder of part
-    files, and path parts may be written ``key=value``.
+    Columns are found by the name in each file's own header and cast to
+    ``schema``; one that a file lacks is null. Files with the same header are
+    read together. With ``folders`` a prediction file is a folder of part files,
+    and path parts may be written ``key=value``.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     part = r"(?:[^/=]+=)?([^/]+)/"
     pattern = part * 3 + r"(?:[^/=]+=)?predictions_?([^/]*?)\.csv(?:/[^/]+)?$"
     names = ("dataset", "method", "level", "fold")
     out = None
-    for root in [roots] if isinstance(roots, str) else roots:
-        reader = spark.read.option("header", True).option("recursiveFileLookup", True)
-        raw = (reader if folders else reader.option("pathGlobFilter", "predictions*.csv")).csv(root)
+    for files in _files_by_header(spark, roots, None if folders else "predictions*.csv"):
+        raw = spark.read.option("header", True).csv(files)
         path = F.col("_metadata.file_path")
         found = raw.where(path.rlike(pattern)).select(
             *[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted],
@@ -191,13 +209,14 @@ def write_folds(df: DataFrame, path: str) -> None:
 
 
 def read_line_labels(
-    spark: SparkSession, path: str, n_cells: DataFrame | None = None, folders: bool = False
+    spark: SparkSession, path: str, n_cells: DataFrame | None = None, folders: bool = False, unlabelled: Sequence[int] = ()
 ) -> DataFrame:
     """One label code per line, line N for cell N: ``sample_id, cell_id, code``.
 
     ``n_cells`` (``sample_id, n_cells``) tells how many cells each sample has: a
     file with one line more starts with an entry for the background, which is
-    dropped; a shorter file is padded with -1.
+    dropped; a shorter file is padded with -1. Samples that ``n_cells`` lacks
+    keep all their lines. Codes in ``unlabelled`` become -1.
     """
     lines = number_lines(spark, path).where(F.trim("value") != "").withColumn("sample_id", sample_of("file", folders))
     # position of a line = lines in earlier blocks of the sample + its rank in the block
@@ -213,15 +232,20 @@ def read_line_labels(
         "sample_id", (F.col("_before") + in_block).alias("_pos"), "_lines",
         F.trim("value").cast("double").cast("int").alias("code"),
     )
+    if unlabelled:
+        rows = rows.withColumn("code", F.when(F.col("code").isin(list(unlabelled)), F.lit(-1)).otherwise(F.col("code")))
     if n_cells is None:
         return rows.select("sample_id", F.col("_pos").alias("cell_id"), "code")
     sizes = n_cells.select("sample_id", F.col("n_cells").cast("bigint").alias("_cells"))
     shift = F.when(F.col("_lines") == F.col("_cells") + 1, 1).otherwise(0)
-    placed = rows.join(sizes, "sample_id").select("sample_id", (F.col("_pos") - shift).alias("cell_id"), "code")
+    known = rows.join(sizes, "sample_id", "left").withColumn("cell_id", F.col("_pos") - F.coalesce(shift, F.lit(0)))
+    placed = known.where("_cells is not null").select("sample_id", "cell_id", "code")
+    unknown = known.where("_cells is null").select("sample_id", "cell_id", "code")
     every = expand_range(sizes.where(F.col("_cells") > 0), F.lit(1), F.col("_cells"), "cell_id").drop("_cells")
-    return every.join(placed, ["sample_id", "cell_id"], "left").select(
+    padded = every.join(placed, ["sample_id", "cell_id"], "left").select(
         "sample_id", "cell_id", F.coalesce("code", F.lit(-1)).alias("code")
     )
+    return padded.unionByName(unknown)
 
 
 # -- decision matrices, label trees ---------------------------------------
@@ -315,8 +339,3 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 # -- marker names ----------------------------------------------------------
-
-
-def mapping_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
-    """A rename dictionary as a table ``old, new``."""
-    return spark.createDataFrame(list(mapping.items()), "old string, new string")
