@@ -31,7 +31,12 @@ def stratified(spark, sf):
     return K.stratified_kfold(base(spark, sf), "cell_type", KEY, 5, SEED).select("cell_id", "cell_type", "fold")
 
 
-@query("k02_stratified_group_kfold")
+@query("k02_stratified_group_kfold", sql(f"""WITH {CODED}, n AS (SELECT sample_id, cell_type, count(*) AS n FROM cells GROUP BY 1, 2),
+  g AS (SELECT sample_id, sum(n)::BIGINT AS rows_in, max_by(cell_type, (n, cell_type)) AS main FROM n GROUP BY 1),
+  s AS (SELECT *, length(bin(rows_in)) * 8 + (rows_in >> greatest(length(bin(rows_in)) - 3, 0)) AS size FROM g),
+  f AS (SELECT sample_id, CAST((row_number() OVER (PARTITION BY main, size ORDER BY md5(concat('{SEED}-', sample_id)), sample_id) - 1 + code + size) % 5 AS INT) AS fold
+        FROM s JOIN d ON d.cell_type = s.main)
+  SELECT cell_id, sample_id, cell_type, fold FROM cells JOIN f USING (sample_id)"""))
 def group_kfold(spark, sf):
     return K.stratified_group_kfold(base(spark, sf), "cell_type", "sample_id", KEY, 5, SEED)
 
@@ -125,6 +130,18 @@ def window(spark, sf):
     return K.smallest_window(cells, centres, "sample_id", 25, 1000, 1000)
 
 
+@query("k09_window_of_all", sql(f"""WITH ce AS (SELECT sample_id, x AS cx, y AS cy FROM cells QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY {H}, cell_id) = 1),
+  a AS ({NEAR.format(c='ce')}), b AS (SELECT sample_id, cx, cy, max(d) AS d FROM a GROUP BY ALL),
+  mv AS (SELECT sample_id, greatest(least(cx, 1000 - d), least(d, 500.0)) AS cx, greatest(least(cy, 1000 - d), least(d, 500.0)) AS cy FROM b),
+  e AS ({NEAR.format(c='mv')})
+  SELECT sample_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, CAST(2 * max(d) AS DOUBLE) AS side, count(*) AS n_cells FROM e GROUP BY ALL"""))
+def window_of_all(spark, sf):
+    # more points asked for than any sample has
+    cells = fx.cells(spark, sf)
+    centres = K.cap_per_class(cells, "sample_id", KEY, 1, SEED).selectExpr("sample_id", "CAST(x AS DOUBLE) AS cx", "CAST(y AS DOUBLE) AS cy")
+    return K.smallest_window(cells, centres, "sample_id", 2**30, 1000, 1000)
+
+
 @query("k10_internal_validation", sql(f"""WITH c AS (SELECT cell_id, cell_type FROM cells QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY {H}, cell_id) <= 500),
   d AS (SELECT cell_type, row_number() OVER (ORDER BY cell_type) - 1 AS code FROM (SELECT DISTINCT cell_type FROM c))
   SELECT cell_id, CASE WHEN (row_number() OVER (PARTITION BY cell_type ORDER BY {H}, cell_id) - 1 + code) % 4 = 0 THEN 'validation' ELSE 'train' END AS split

@@ -20,12 +20,13 @@ from cellgauge.session import stage
 def stratified_kfold(
     df: DataFrame, label: str, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
-    """Folds whose class shares are equal up to one row."""
+    """Folds whose class shares are equal up to one row; rows without a label are a class of their own."""
     codes = stage(label_dictionary(df, label), "classes").select(
         F.col("phenotype").alias(label), F.col("label").alias("_code")
     )
-    ranked = hash_rank(df.join(codes, label), [label], seed, key, rank="_rank")
-    return ranked.withColumn(out, ((F.col("_rank") - 1 + F.col("_code")) % k).cast("int")).select(*df.columns, out)
+    ranked = hash_rank(df.join(codes, label, "left"), [label], seed, key, rank="_rank")
+    turn = F.col("_rank") - 1 + F.coalesce(F.col("_code"), F.lit(-1))
+    return ranked.withColumn(out, F.pmod(turn, F.lit(k)).cast("int")).select(*df.columns, out)
 
 
 def first_stratified_fold(
@@ -38,76 +39,38 @@ def first_stratified_fold(
     return folds.withColumn("split", F.when(F.col("_fold") == 0, "validation").otherwise("train")).drop("_fold")
 
 
-#: groups placed one by one; the (smaller) rest is dealt out in serpentine order
-GREEDY_GROUPS = 20_000
-
-
 def stratified_group_kfold(
     df: DataFrame, label: str, group: str, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
-    """Folds that keep each group whole and balance the classes greedily.
+    """Folds that keep each group whole and spread the classes evenly.
 
-    Fewer groups than folds fall back to :func:`stratified_kfold`. The greedy
-    search sees class counts per group, never rows. Only the groups whose counts
-    vary most matter for the balance; beyond ``GREEDY_GROUPS`` of them the rest
-    is dealt out by main class and size, which needs no search.
+    Groups are dealt out by :func:`assign_groups`. Fewer groups than folds fall
+    back to :func:`stratified_kfold`. Rows without a group form one group, rows
+    without a label one class.
     """
     counts = stage(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")), "group_classes")
     if counts.select(group).distinct().limit(k).count() < k:
         return stratified_kfold(df, label, key, k, seed, out)
     assigned = stage(assign_groups(counts, label, group, k, seed, out), "group_folds")
-    return df.join(assigned, group).select(*df.columns, out)
+    return df.join(assigned, df[group].eqNullSafe(assigned[group])).select(*[df[c] for c in df.columns], out)
 
 
 def assign_groups(counts: DataFrame, label: str, group: str, k: int, seed: int, out: str = "fold") -> DataFrame:
-    """The fold of every group from its class counts (``group, label, n``)."""
-    import numpy as np
-    import pandas as pd
-
-    classes = counts.select(label).distinct().count()
-    profile = counts.groupBy(group).agg(
-        F.sum("n").alias("_rows_in"),
-        F.sqrt(F.greatest(F.sum(F.col("n") * F.col("n")) / classes - (F.sum("n") / classes) ** 2, F.lit(0.0))).alias("_spread"),
-        F.max_by(label, F.struct("n", label)).alias("_main"),
-    ).withColumn("_tie", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(group).cast("string"))))
-    head = profile.orderBy(F.desc("_spread"), "_tie").limit(GREEDY_GROUPS)
-    head = stage(head, "head_groups")
-    vectors = counts.join(head, group).groupBy(group, "_spread", "_tie").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), "n"))).alias("_counts")
-    )
-    field = counts.schema[group].dataType.simpleString()
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_spread", "_tie"], ascending=[False, True])
-        maps = [dict(m) for m in pdf["_counts"]]
-        names = sorted({c for m in maps for c in m})
-        x = np.array([[m.get(c, 0) for c in names] for m in maps], dtype=float)
-        total = x.sum(axis=0)
-        per_fold = np.zeros((k, len(names)))
-        chosen = []
-        for row in x:
-            best, best_key = 0, None
-            for f in range(k):
-                per_fold[f] += row
-                spread = float((per_fold / total).std(axis=0).mean())
-                load = float(per_fold[f].sum())
-                per_fold[f] -= row
-                if best_key is None or (spread, load) < best_key:
-                    best, best_key = f, (spread, load)
-            per_fold[best] += row
-            chosen.append(best)
-        return pd.DataFrame({group: pdf[group].to_numpy(), out: chosen})
-
-    placed = vectors.groupBy(F.lit(0).alias("_all")).applyInPandas(
-        lambda _, pdf: place(pdf), f"`{group}` {field}, `{out}` int"
-    )
-    rest = profile.join(head, group, "left_anti")
-    # round-robin with alternating direction over groups ordered by size within a main class
-    order = rest.withColumn("_size_key", F.lpad((F.lit(2**62) - F.col("_rows_in")).cast("string"), 20, "0"))
-    ranked = hash_rank(order, ["_main"], seed, [group], rank="_r")
-    step = (F.col("_r") - 1) % (2 * k)
-    dealt = ranked.select(group, F.when(step < k, step).otherwise(2 * k - 1 - step).cast("int").alias(out))
-    return placed.unionByName(dealt)
+    """The fold of every group from its class counts (``group, label, n``).
+
+    Groups alike in main class and size (the three leading bits of the row
+    count) are dealt to the folds in turn, in a seeded order, so that among them
+    no fold has two groups more than another. The first fold of the turn
+    changes with class and size. The rule is the same for any number of groups.
+    """
+    codes = label_dictionary(counts, label).select(F.col("phenotype").alias("_main"), F.col("label").alias("_code"))
+    profile = counts.groupBy(group).agg(F.sum("n").alias("_rows_in"), F.max_by(label, F.struct("n", label)).alias("_main"))
+    bits = F.length(F.bin("_rows_in"))
+    lead = F.expr("shiftright(_rows_in, greatest(length(bin(_rows_in)) - 3, 0))")
+    sized = profile.withColumn("_size", (bits * 8 + lead).cast("int"))
+    ranked = hash_rank(sized, ["_main", "_size"], seed, [group], rank="_r").join(stage(codes, "classes"), "_main", "left")
+    turn = F.col("_r") - 1 + F.coalesce(F.col("_code"), F.lit(-1)) + F.col("_size")
+    return ranked.select(group, F.pmod(turn, F.lit(k)).cast("int").alias(out))
 
 
 def group_shuffle_split(
@@ -216,7 +179,7 @@ def smallest_window(
 
     ``centres`` has ``sample, cx, cy`` with one row per sample. The square is
     first sized around the given centre, then shifted into the image and sized
-    again.
+    again. A sample with fewer points gets the square that holds all of them.
     """
 
     def reach(c: DataFrame) -> DataFrame:
@@ -227,9 +190,12 @@ def smallest_window(
         order = W.partitionBy(sample, "cx", "cy").orderBy("_d")
         nearest = rings.withColumn("_ring", F.row_number().over(order)).where(F.col("_ring") <= m)
         within = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        # beyond the m nearest rings nothing counts, so their sum stands for all points
+        reachable = F.sum("_n").over(W.partitionBy(sample, "cx", "cy"))
         return (
             nearest.withColumn("n_cells", within)
-            .where(F.col("n_cells") >= m)
+            .withColumn("_all", reachable)
+            .where(F.col("n_cells") >= F.least(F.lit(m), F.col("_all")))
             .groupBy(sample, "cx", "cy")
             .agg(F.min("_d").alias("_d"), F.min("n_cells").alias("n_cells"))
         )

@@ -20,16 +20,14 @@ def test_stratified_shares(spark, rows):
     assert folds.count() == 3000
 
 
-def test_groups_stay_whole(spark, rows, monkeypatch):
-    for cap in (20_000, 5):
-        monkeypatch.setattr(K, "GREEDY_GROUPS", cap)
-        folds = K.stratified_group_kfold(rows, "cls", "grp", ["id"], 3)
-        assert folds.count() == 3000
-        assert folds.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
-        assert folds.select("fold").distinct().count() == 3
+def test_groups_stay_whole(spark, rows):
+    folds = K.stratified_group_kfold(rows, "cls", "grp", ["id"], 3)
+    assert folds.count() == 3000
+    assert folds.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    assert folds.select("fold").distinct().count() == 3
 
 
-def test_greedy_balance(spark):
+def test_group_balance(spark):
     df = spark.range(2000).select("id", (F.col("id") % 4).cast("string").alias("cls"), (F.col("id") % 50).alias("grp"))
     sizes = K.stratified_group_kfold(df, "cls", "grp", ["id"], 5).groupBy("fold").count().collect()
     assert max(r["count"] for r in sizes) - min(r["count"] for r in sizes) <= 40
@@ -73,3 +71,22 @@ def test_windows_cover_the_border(spark):
 def test_windows_with_anchored_end(spark):
     df = spark.createDataFrame([(104, 5)], "x int, y int")
     assert {r.x0 for r in K.overlapping_windows(df, 40, 110, 40).collect()} == {70}
+
+
+def test_group_folds_are_even_at_any_number_of_groups(spark):
+    for n in (12, 400, 25_000):
+        counts = spark.range(n).select(F.col("id").alias("g"), F.concat(F.lit("c"), F.col("id") % 3).alias("cls"), (40 + F.col("id") % 24).alias("n"))
+        folds = K.assign_groups(counts, "cls", "g", 5, 42).join(counts, "g")
+        assert folds.count() == n
+        rows = {r.fold: r.n for r in folds.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+        per_class = folds.groupBy("cls", "fold").count().groupBy("cls").agg((F.max("count") - F.min("count")).alias("gap")).collect()
+        # 3 leading bits of 40..63: up to 4 sizes of a class, each even to one group
+        assert all(r.gap <= 4 for r in per_class)
+        assert n < 100 or max(rows.values()) - min(rows.values()) <= 12 * 63
+
+
+def test_rows_without_group_or_label_stay(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("g"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), F.col("id") % 2)).alias("cls"))
+    folds = K.stratified_group_kfold(df, "cls", "g", ["id"], 3)
+    assert folds.count() == 60 and folds.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    assert K.stratified_kfold(df, "cls", ["id"], 5).count() == 60
