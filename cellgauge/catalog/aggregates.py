@@ -214,6 +214,28 @@ def summary(spark, sf):
 TILES = "tiles AS (SELECT vec_id % 20 AS sample_id, vec_id AS tile, (vec_id * 7) % 45 - 2 AS x0, (vec_id * 3) % 5 AS y0, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 
 
+def tile_vectors(spark, sf):
+    return fx.table(spark, sf, "embeddings").selectExpr(
+        "vec_id % 20 AS sample_id", "vec_id AS tile", "(vec_id * 7) % 45 - 2 AS x0", "(vec_id * 3) % 5 AS y0", "CAST(embedding AS ARRAY<DOUBLE>) AS vec")
+
+
+@query("a24_uncovered_ids", sql(f"""WITH all_{TILES}, tiles AS (SELECT * FROM all_tiles WHERE tile % 10 = 3), px AS (SELECT * FROM pixels WHERE cell_id <> 0),
+  spots AS (SELECT DISTINCT sample_id, x, y FROM px),
+  cov AS (SELECT s.sample_id, s.x, s.y, t.vec FROM spots s JOIN tiles t ON s.sample_id = t.sample_id AND s.x >= t.x0 AND s.x < t.x0 + 6 AND s.y >= t.y0 AND s.y < t.y0 + 6),
+  long AS (SELECT sample_id, x, y, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM cov),
+  pv AS (SELECT sample_id, x, y, pos, avg(v) AS v FROM long GROUP BY ALL),
+  ar AS (SELECT sample_id, cell_id, count(*) AS n_pixels FROM px GROUP BY 1, 2),
+  ag AS (SELECT sample_id, cell_id, pos, sum(v) AS s FROM px JOIN pv USING (sample_id, x, y) GROUP BY 1, 2, 3)
+  SELECT ar.sample_id, ar.cell_id, ar.n_pixels, CAST(g.pos AS INT) AS pos, {r6('coalesce(s, 0) / ar.n_pixels')} AS value FROM ar
+  CROSS JOIN (SELECT unnest(range(max(len(vec)))) AS pos FROM tiles) g
+  LEFT JOIN ag ON ag.sample_id = ar.sample_id AND ag.cell_id = ar.cell_id AND ag.pos = g.pos""", "pixels"))
+def tiles_of_few(spark, sf):
+    # most ids have no tile: zero vectors
+    t = tile_vectors(spark, sf).where("tile % 10 = 3")
+    vectors = A.as_vectors(A.vectors_from_tiles(fx.pixels(spark, sf), t, "sample_id", "cell_id", 6), ["sample_id", "cell_id", "n_pixels"])
+    return rounded(vectors.select("sample_id", "cell_id", "n_pixels", F.posexplode("vec").alias("pos", "value")))
+
+
 @query("a24_vectors_from_tiles", sql(f"""WITH {TILES}, px AS (SELECT * FROM pixels WHERE cell_id <> 0),
   spots AS (SELECT DISTINCT sample_id, x, y FROM px),
   cov AS (SELECT s.sample_id, s.x, s.y, t.vec FROM spots s JOIN tiles t ON s.sample_id = t.sample_id AND s.x >= t.x0 AND s.x < t.x0 + 6 AND s.y >= t.y0 AND s.y < t.y0 + 6),
@@ -221,8 +243,8 @@ TILES = "tiles AS (SELECT vec_id % 20 AS sample_id, vec_id AS tile, (vec_id * 7)
   pv AS (SELECT sample_id, x, y, pos, avg(v) AS v FROM long GROUP BY ALL),
   ar AS (SELECT sample_id, cell_id, count(*) AS n_pixels FROM px GROUP BY 1, 2),
   ag AS (SELECT sample_id, cell_id, pos, sum(v) AS s FROM px JOIN pv USING (sample_id, x, y) GROUP BY 1, 2, 3)
-  SELECT sample_id, cell_id, n_pixels, CAST(pos AS INT) AS pos, {r6('s / n_pixels')} AS value FROM ag JOIN ar USING (sample_id, cell_id)""", "pixels"))
+  SELECT ar.sample_id, ar.cell_id, ar.n_pixels, CAST(g.pos AS INT) AS pos, {r6('coalesce(s, 0) / ar.n_pixels')} AS value FROM ar
+  CROSS JOIN (SELECT unnest(range(max(len(vec)))) AS pos FROM tiles) g
+  LEFT JOIN ag ON ag.sample_id = ar.sample_id AND ag.cell_id = ar.cell_id AND ag.pos = g.pos""", "pixels"))
 def tiles(spark, sf):
-    t = fx.table(spark, sf, "embeddings").selectExpr(
-        "vec_id % 20 AS sample_id", "vec_id AS tile", "(vec_id * 7) % 45 - 2 AS x0", "(vec_id * 3) % 5 AS y0", "CAST(embedding AS ARRAY<DOUBLE>) AS vec")
-    return rounded(A.vectors_from_tiles(fx.pixels(spark, sf), t, "sample_id", "cell_id", 6))
+    return rounded(A.vectors_from_tiles(fx.pixels(spark, sf), tile_vectors(spark, sf), "sample_id", "cell_id", 6))

@@ -9,6 +9,7 @@ from cellgauge.catalog.fixtures import r6, rounded, with_ctes
 from cellgauge.catalog.registry import query
 from cellgauge.functions import exprs as E
 from cellgauge.operators import cleaning as C
+from cellgauge.operators.ranks import exact_quantiles
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -166,6 +167,14 @@ def drop_outliers(spark, sf):
                    *[f"sum_{m}" for m in fx.EXPR_MARKERS])
 
 
+@query("p20_one_low_outlier", """WITH v AS (SELECT l_orderkey, CASE WHEN l_orderkey = 1 THEN -1e9 ELSE l_extendedprice END AS v FROM lineitem)
+  SELECT round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.99), 6) AS high FROM v""")
+def outlier(spark, sf):
+    v = F.when(F.col("l_orderkey") == 1, F.lit(-1e9)).otherwise(F.col("l_extendedprice"))
+    found = exact_quantiles(fx.table(spark, sf, "lineitem").select(F.lit(1).alias("g"), v.alias("v")), ["g"], "v", {"low": 0.01, "mid": 0.5, "high": 0.99})
+    return found.select(*[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
+
+
 @query("p21_dedup_keep_first", """SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2""")
 def dedup(spark, sf):
     df = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -183,6 +192,19 @@ def reindex(spark, sf):
     return C.dense_reindex(df, ["sample_id"], "cell_id", {"label": ""})
 
 
+@query("p22_given_range", """WITH r AS (SELECT o_custkey % 10 AS sample_id, o_custkey // 10 AS cell_id, max(o_orderpriority) AS label
+    FROM orders WHERE o_custkey % 10 < 8 GROUP BY 1, 2),
+  n AS (SELECT DISTINCT o_custkey % 10 AS sample_id, o_custkey % 10 * 7 + 3 AS top FROM orders),
+  ids AS (SELECT sample_id, unnest(range(1, top + 1)) AS cell_id FROM n)
+  SELECT sample_id, cell_id, coalesce(label, '') AS label, label IS NULL AS _is_dummy FROM ids LEFT JOIN r USING (sample_id, cell_id)""")
+def reindex_given(spark, sf):
+    # sizes come from elsewhere, and name samples without any row
+    orders = fx.table(spark, sf, "orders").withColumn("sample_id", F.col("o_custkey") % 10)
+    df = orders.where("sample_id < 8").groupBy("sample_id", F.floor(F.col("o_custkey") / 10).alias("cell_id")).agg(F.max("o_orderpriority").alias("label"))
+    sizes = orders.select("sample_id", (F.col("sample_id") * 7 + 3).alias("last")).distinct()
+    return C.dense_reindex(df, ["sample_id"], "cell_id", {"label": ""}, last=sizes)
+
+
 @query("p23_effective_label", sql("SELECT cell_id, coalesce(nullif(new_label, ''), cell_labels) AS label FROM reann", "reann"))
 def effective(spark, sf):
     return fx.reannotated(spark, sf).select("cell_id", E.effective_label("new_label", "cell_labels").alias("label"))

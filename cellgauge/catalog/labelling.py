@@ -266,8 +266,7 @@ def train_evaluate(spark, sf):
 @query("c11_cluster_and_transfer")
 def cluster_transfer(spark, sf):
     vec = fx.vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
-    n = max(50, vec.count() // 2)
-    return cluster_and_transfer(vec, "vec_id", "embedding", "label", rows=n, k=10, rounds=4)
+    return cluster_and_transfer(vec, "vec_id", "embedding", "label", k=10, rounds=ROUNDS)
 
 
 @query("m19_learning_curve")

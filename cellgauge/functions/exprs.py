@@ -100,11 +100,3 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
         F.lit(0.0),
         lambda acc, v: acc + v,
     )
-
-
-def euclidean(a: str | Column, b: str | Column) -> Column:
-    return F.sqrt(squared_distance(a, b))
-
-
-def struct_of(names: Iterable[str]) -> Column:
-    return F.struct(*[F.col(n) for n in names])

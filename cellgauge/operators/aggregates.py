@@ -211,7 +211,7 @@ def vectors_from_tiles(
     ``tiles`` holds ``sample, tile, x0, y0, vec`` for square tiles. The double
     mean is linear in the tile vectors, so pixels only yield a scalar weight per
     (id, tile); vectors are joined once per such pair, never per pixel. Pixels
-    without a tile count as zero vectors.
+    without a tile count as zero vectors, and an id without any is one.
     """
     step = F.lit(size)
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
@@ -241,7 +241,16 @@ def vectors_from_tiles(
         .groupBy(sample, mask, "pos")
         .agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"))
     )
-    return summed.join(area, [sample, mask]).select(sample, mask, "n_pixels", "pos", (F.col("_s") / F.col("n_pixels")).alias("value"))
+    width = tiles.select(F.max(F.size(vec))).scalar()
+    every = area.withColumn("pos", F.explode(F.sequence(F.lit(0), width - 1)))
+    value = F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("n_pixels")
+    return every.join(summed, [sample, mask, "pos"], "left").select(sample, mask, "n_pixels", "pos", value.alias("value"))
+
+
+def as_vectors(long: DataFrame, by: Sequence[str], out: str = "vec") -> DataFrame:
+    """One array per key from its rows ``pos, value``."""
+    entries = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return long.groupBy(*by).agg(F.transform(entries, lambda e: e["value"]).alias(out))
 
 
 # -- marker ranking --------------------------------------------------------

@@ -181,13 +181,19 @@ def expand_range(df: DataFrame, low: Column, high: Column, out: str, step: int =
 
 
 def dense_reindex(
-    df: DataFrame, by: Sequence[str], id_col: str, default: Mapping[str, object], start: int = 1
+    df: DataFrame, by: Sequence[str], id_col: str, default: Mapping[str, object], start: int = 1, last: int | DataFrame | None = None
 ) -> DataFrame:
     """One row per id from ``start`` to the largest id of each group.
 
-    Ids without a row get the default values and ``_is_dummy`` true.
+    ``last`` sets the end of the range instead: a number, or a table of ``by``
+    and ``last``, which may also name groups without any row. Ids without a row get the default values and ``_is_dummy`` true.
     """
-    top = df.groupBy(*by).agg(F.max(id_col).cast("bigint").alias("_top")).where(F.col("_top") >= start)
+    if isinstance(last, DataFrame):
+        top = last.select(*by, F.col("last").cast("bigint").alias("_top"))
+    else:
+        end = F.max(id_col) if last is None else F.lit(last)
+        top = df.groupBy(*by).agg(end.cast("bigint").alias("_top"))
+    top = top.where(F.col("_top") >= start)
     ids = expand_range(top, F.lit(start), F.col("_top"), id_col).drop("_top")
     out = ids.join(df.withColumn("_real", F.lit(True)), [*by, id_col], "left")
     for name, value in default.items():

@@ -47,6 +47,12 @@ def prepare(train: DataFrame, label: str, balanced: bool = True) -> tuple[DataFr
     return out, codes
 
 
+def code_with(rows: DataFrame, label: str, codes: DataFrame) -> DataFrame:
+    """Rows with the ``code`` that the training labels gave their label, and weight 1; unseen labels go."""
+    known = codes.select(F.col("phenotype").alias(label), F.col("label").cast("double").alias("code"))
+    return rows.join(known, label).withColumn("weight", F.lit(1.0))
+
+
 def predict(model: Model, rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Add ``predicted_phenotype`` and ``confidence`` (highest probability)."""
     scored = model.transform(rows)

@@ -70,19 +70,23 @@ def hash_rank(
 def _bucketed(df: DataFrame, by: Sequence[str], value: str, per_octave: int = 512) -> DataFrame:
     """Add ``_bucket``, a whole number that never falls as the value rises.
 
-    The value's place between the smallest and the largest of its group is taken
-    on a logarithmic scale, which cuts both narrow and long-tailed groups into
-    many buckets. The ranges come from one light aggregation.
+    The value's place between a low and a high quantile of its group is taken on
+    a logarithmic scale to both sides, which cuts both narrow and long-tailed
+    groups into many buckets; a few outliers can't stretch the range. The
+    quantiles may be rough: they only set the buckets. They come from one
+    aggregation with map-side sketches.
     """
-    ends = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    rough = F.percentile_approx(F.col(value).cast("double"), F.array(F.lit(0.01), F.lit(0.99)), 1000)
+    ends = [rough[0].alias("_lo"), rough[1].alias("_hi")]
     if by:
         ranged = df.join(stage(df.groupBy(*by).agg(*ends), "ranges"), list(by))
     else:
         ends_of_all = df.select(F.struct(*ends)).scalar()
         ranged = df.withColumns({"_lo": ends_of_all["_lo"], "_hi": ends_of_all["_hi"]})
-    place = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    cut = F.greatest(F.floor(F.log2(place) * per_octave) + 60 * per_octave, F.lit(1))
-    bucket = F.when((F.col("_hi") > F.col("_lo")) & (place > 0), cut).otherwise(F.lit(0)).cast("bigint")
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
+    place = (F.col(value) - F.col("_lo")) / width
+    cut = F.greatest(F.floor(F.log2(F.abs(place)) * per_octave) + 60 * per_octave, F.lit(1))
+    bucket = F.when(place > 0, cut).when(place < 0, -cut).otherwise(F.lit(0)).cast("bigint")
     return ranged.withColumn("_bucket", bucket).drop("_lo", "_hi")
 
 

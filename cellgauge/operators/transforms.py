@@ -52,13 +52,19 @@ def fit_scaler(train: DataFrame, markers: Sequence[str], by: Sequence[str] = ())
     return train.groupBy(*by).agg(*aggs)
 
 
+def _join_null_safe(df: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row of ``df`` with its group's row of ``side``; rows without a key are a group too."""
+    same = [df[c].eqNullSafe(side[c]) for c in by]
+    return df.join(side, same, "left").drop(*[side[c] for c in by])
+
+
 def standard_scale(
     df: DataFrame, markers: Sequence[str], split: str = "split", train: str = "train", by: Sequence[str] = ()
 ) -> DataFrame:
     """Scale all rows of each fold with the moments of its training rows."""
     scaler = fit_scaler(df.where(F.col(split) == train), markers, by)
     if by:
-        joined = df.join(stage(scaler, "scaler"), list(by))
+        joined = _join_null_safe(df, stage(scaler, "scaler"), by)
         out = joined.withColumns({m: (F.col(m) - F.col(f"{m}_mean")) / F.col(f"{m}_scale") for m in markers})
         return out.select(*df.columns)
     s = scaler.select(F.struct("*")).scalar()
@@ -128,7 +134,7 @@ def external_scale(
 def scale_by_group_max(df: DataFrame, by: Sequence[str], markers: Sequence[str], eps: float = 1e-8) -> DataFrame:
     """Divide by the largest value of the group (over all markers)."""
     top = df.groupBy(*by).agg(F.max(F.greatest(*markers) if len(markers) > 1 else F.col(markers[0])).alias("_top"))
-    out = df.join(stage(top, "maxima"), list(by)).withColumns({m: F.col(m) / (F.col("_top") + eps) for m in markers})
+    out = _join_null_safe(df, stage(top, "maxima"), by).withColumns({m: F.col(m) / (F.col("_top") + eps) for m in markers})
     return out.select(*df.columns)
 
 
@@ -144,8 +150,9 @@ def batch_correct(
 ) -> DataFrame:
     """Empirical-Bayes location and scale correction per batch.
 
-    Rows are only aggregated to moments and adjusted by a join; the shrinkage
-    iteration sees one row per (marker, batch).
+    Rows are only aggregated to moments and adjusted by a join. The priors of a
+    batch are taken over its markers, so the iteration sees one row per marker
+    of a batch. Rows without a batch are a batch.
     """
     import numpy as np
     import pandas as pd
@@ -156,29 +163,27 @@ def batch_correct(
         .groupBy("r.marker", "batch")
         .agg(F.count("r.v").alias("n"), F.avg("r.v").alias("mean"), F.var_pop("r.v").alias("var_pop"))
     )
+    moments = stage(moments, "moments")
+    rows, var = F.sum("n"), F.sum(F.col("n") * F.col("var_pop")) / F.sum("n")
+    overall = moments.groupBy("marker").agg(
+        (F.sum(F.col("n") * F.col("mean")) / rows).alias("grand"), F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0)).alias("sd")
+    )
 
     def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, var = (pdf[c].to_numpy(dtype=float) for c in ("n", "mean", "var_pop"))
-        grand = float((n * mean).sum() / n.sum())
-        pooled = float((n * var).sum() / n.sum())
-        sd = pooled**0.5 if pooled > 0 else 1.0
+        n, mean, var, grand, sd = (pdf[c].to_numpy(dtype=float) for c in ("n", "mean", "var_pop", "grand", "sd"))
         gamma = (mean - grand) / sd
-        ratio = np.where(n > 1, n / np.maximum(n - 1, 1), 1.0)
-        delta = np.where(n > 1, var * ratio / sd**2, 1.0)
-        prior_mean = gamma.mean()
-        prior_var = gamma.var(ddof=1) if len(gamma) > 1 else 0.0
-        d_mean = delta.mean()
-        d_var = delta.var(ddof=1) if len(delta) > 1 else 0.0
+        spread = n * var / sd**2
+        delta = np.where(n > 1, spread / np.maximum(n - 1, 1), 1.0)
+        prior_mean, d_mean = gamma.mean(), delta.mean()
+        prior_var, d_var = (v.var(ddof=1) if len(v) > 1 else 0.0 for v in (gamma, delta))
         g_new, d_new = gamma.copy(), np.maximum(delta, 1e-12)
         if prior_var > 0 and d_var > 0:
             a = (2 * d_var + d_mean**2) / d_var
             b = (d_mean * d_var + d_mean**3) / d_var
-            spread = n * var / sd**2
             for _ in range(max_rounds):
                 g_old, d_old = g_new, d_new
                 g_new = (n * prior_var * gamma + d_old * prior_mean) / (n * prior_var + d_old)
-                residual = spread + n * (gamma - g_new) ** 2
-                d_new = (0.5 * residual + b) / (n / 2.0 + a - 1.0)
+                d_new = (0.5 * (spread + n * (gamma - g_new) ** 2) + b) / (n / 2.0 + a - 1.0)
                 step = max(np.max(np.abs(g_new - g_old) / np.maximum(np.abs(g_old), 1e-12)),
                            np.max(np.abs(d_new - d_old) / d_old))
                 if step < tol:
@@ -188,11 +193,11 @@ def batch_correct(
         })
 
     schema = f"marker string, batch {df.schema[batch].dataType.simpleString()}, grand double, sd double, gamma double, delta double"
-    fitted = moments.groupBy("marker").applyInPandas(shrink, schema)
+    fitted = moments.join(overall, "marker").where("n > 0").groupBy("batch").applyInPandas(shrink, schema)
     wide = fitted.groupBy(F.col("batch").alias(batch)).agg(
         F.map_from_entries(F.collect_list(F.struct("marker", F.struct("grand", "sd", "gamma", "delta")))).alias("_fit")
     )
-    out = df.join(stage(wide, "batches"), batch)
+    out = _join_null_safe(df, stage(wide, "batches"), [batch])
     adjusted = {}
     for m in markers:
         f = F.col("_fit")[m]

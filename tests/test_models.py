@@ -152,9 +152,6 @@ def test_cluster_and_transfer(blobs):
     assert out.count() == 400 and accuracy(out) > 0.85
 
 
-def test_matrix_from_table(spark, monkeypatch):
+def test_matrix_from_table(spark):
     df = spark.createDataFrame([("t", "m1", 1.0), ("t", "m2", -1.0)], "cell_type string, marker string, weight double")
     assert G.matrix_from_table(df) == {"t": {"m1": 1.0, "m2": -1.0}}
-    monkeypatch.setattr(G, "MATRIX_CELLS", 1)
-    with pytest.raises(ValueError):
-        G.matrix_from_table(df)
