@@ -27,6 +27,7 @@ from cellgauge.session import stage
 #: 1: the word counts, 0: any word may stand there
 MASKS = ("1101101", "1011011", "1110011")
 FILTER_BITS = 23
+PROBES = 3
 
 
 def _words(part: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +70,8 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_item"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words.view(np.int64)))], ["item", "item_words"])
 
 
-def _hits(masks: Sequence[str], known: np.ndarray, reach: int):
-    size = np.uint64(len(known) * 64 - 1)
+def _hits(masks: Sequence[str], known: np.ndarray, bits: int, reach: int):
+    size = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +81,12 @@ def _hits(masks: Sequence[str], known: np.ndarray, reach: int):
                 found_h, found_at = [], []
                 for mask in masks:
                     h, at = _seeds(words, first, mask)
-                    slot = h & size
-                    ok = known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
-                    found_h.append(h[ok])
-                    found_at.append(at[ok])
+                    for turn in range(PROBES):
+                        slot = h >> np.uint64(turn * 20) & size
+                        ok = known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+                        h, at = h[ok], at[ok]
+                    found_h.append(h)
+                    found_at.append(at)
                 h, at = np.concatenate(found_h), np.concatenate(found_at)
                 if not len(at):
                     continue
@@ -152,21 +155,24 @@ def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MAS
     items = items.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text"))
     seeds = stage(items.mapInArrow(_item_seeds(masks, shortest), "h bigint, item bigint, at bigint"), "item-seeds")
     item_words = stage(items.mapInArrow(_item_words, "item bigint, item_words array<bigint>").distinct(), "item-words")
-    slot = F.col("h").bitwiseAND((1 << filter_bits) - 1)
+    slots = F.array(*(F.shiftrightunsigned("h", 20 * turn).bitwiseAND((1 << filter_bits) - 1) for turn in range(PROBES)))
+    set_bits = seeds.select(F.explode(slots).alias("slot")).selectExpr("slot >> 6 as w", "shiftleft(1L, cast(slot & 63 as int)) as bit")
     known = np.zeros(1 << filter_bits - 6, np.uint64)  # at most so many rows arrive
-    for row in seeds.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << filter_bits) - 1}) & 63 as int))")).alias("bits")).collect():
+    for row in set_bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         known[row.w] = np.uint64(row.bits & 0xFFFFFFFFFFFFFFFF)
     longest = item_words.agg(F.max(F.size("item_words"))).first()[0] or 0
-    every = (*masks, *("1" * m for m in range(shortest, len(masks[0]))))
+    short = item_words.select(F.size("item_words").alias("n")).filter(F.col("n").between(shortest, len(masks[0]) - 1)).distinct()
+    every = (*masks, *("1" * row.n for row in short.collect()))  # a few lengths
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
     schema = "_id bigint, tag bigint, begin bigint, words array<bigint>, hits array<bigint>, places array<bigint>"
-    near = stage(rows.mapInArrow(_hits(every, known, longest + len(masks[0])), schema), "hits")
+    near = stage(rows.mapInArrow(_hits(every, known, filter_bits, longest + len(masks[0])), schema), "hits")
     key = ["_id", "tag", "begin"]
     met = near.select(*key, F.explode(F.arrays_zip("hits", "places")).alias("hit")).select(*key, F.col("hit.hits").alias("h"), F.col("hit.places").alias("place"))
     met = met.join(seeds, "h").select(*key, "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    stretch = near.select(F.col("_id").alias("i"), F.col("tag").alias("t"), F.col("begin").alias("b"), "words").dropDuplicates(["i", "t", "b"])
+    stretch = near.select(F.col("_id").alias("i"), F.col("tag").alias("t"), F.col("begin").alias("b"), "words")
     same = met["_id"].eqNullSafe(stretch["i"]) & (met["tag"] == stretch["t"]) & (met["begin"] == stretch["b"])
-    pairs = met.join(stretch, same).drop("i", "t", "b", "tag").join(item_words, "item")
+    pairs = met.join(stretch, same).drop("i", "t", "b", "tag")
+    pairs = pairs.join(item_words, pairs["item"].eqNullSafe(item_words["item"])).drop(item_words["item"])
     found = pairs.mapInArrow(_verify(min_words, max_substituted), "_id bigint, item bigint, first_word bigint, last_word bigint, item_first bigint, item_last bigint, n_same bigint")
     return found.distinct().select(F.col("_id").alias(id_col), F.col("item").alias(item_id), "first_word", "last_word", "item_first", "item_last", "n_same")
 
@@ -174,4 +180,4 @@ def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MAS
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` without any overlap. Rows with a null id are judged together."""
     dirty = contaminations(docs, items, id_col=id_col, **settings).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_id"]), "left_anti")
