@@ -14,6 +14,7 @@ from cellgauge.operators import spatial as SP
 from cellgauge.operators import vectors as V
 from cellgauge.operators.metrics import confusion_counts, label_metrics
 from cellgauge.plans.labelling import cluster_and_transfer, make_folds, train_and_evaluate
+from cellgauge.session import stage
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -152,7 +153,7 @@ def neighbour_means(spark, sf):
     return rounded(SP.neighbour_means(fx.cells(spark, sf), "sample_id", "cell_id", ["m1", "m2"], 40.0), "nb_m1", "nb_m2")
 
 
-# -- fitted models (rows are checked, not values) --------------------------
+# -- fitted models: SQL knows no fits, so it checks what must hold of them --
 
 
 def vec_rows(spark, sf):
@@ -164,6 +165,18 @@ def marker_rows(spark, sf):
     return ML.with_features(df, fx.MARKERS)
 
 
+def checked(predicted, key, label, name="predicted_phenotype"):
+    """Each row with two facts: its predicted label is one of the labels, and the model's mean recall is above that of one label for all."""
+    predicted = stage(predicted.select(key, label, name), "predicted")
+    labels = predicted.select(F.col(label).alias("_known")).distinct()
+    recall = predicted.groupBy(label).agg(F.avg((F.col(name) == F.col(label)).cast("double")).alias("r")).agg((F.avg("r") > 1 / F.count("r")).alias("above")).scalar()
+    return predicted.join(labels, F.col(name) == F.col("_known"), "left").select(key, label, F.col("_known").isNotNull().alias("known_label"), recall.alias("above_one_label"))
+
+
+VEC_FACTS = "SELECT vec_id, CAST(label AS VARCHAR) AS label, true AS known_label, true AS above_one_label FROM embeddings"
+CELL_FACTS = sql("SELECT cell_id, cell_type, true AS known_label, true AS above_one_label FROM cells")
+
+
 def fit_and_predict(rows, label, estimator, hold_out: int = 0):
     """Train outside the held-out fold, label every row."""
     train, codes = ML.prepare(rows.where(F.col("fold") != hold_out), label)
@@ -171,51 +184,58 @@ def fit_and_predict(rows, label, estimator, hold_out: int = 0):
     return ML.predict(model, rows, codes).drop("features")
 
 
-@query("c04_logistic_regression")
+@query("c04_logistic_regression", VEC_FACTS)
 def logistic(spark, sf):
-    return fit_and_predict(vec_rows(spark, sf), "label", lambda _: ML.logistic_regression(maxIter=30))
+    return checked(fit_and_predict(vec_rows(spark, sf), "label", lambda _: ML.logistic_regression()), "vec_id", "label")
 
 
-@query("c05_random_forest")
+@query("c05_random_forest", VEC_FACTS)
 def forest(spark, sf):
-    return fit_and_predict(vec_rows(spark, sf), "label", lambda _: ML.random_forest(numTrees=40, maxDepth=6))
+    return checked(fit_and_predict(vec_rows(spark, sf), "label", lambda _: ML.random_forest()), "vec_id", "label")
 
 
-@query("c06_boosted_trees")
+@query("c06_boosted_trees", CELL_FACTS)
 def boosted(spark, sf):
     rows = marker_rows(spark, sf)
     train, codes = ML.prepare(rows.where("fold <> 0"), "cell_type")
-    model = ML.BoostedClasses(maxIter=5, maxDepth=3).fit(train.withColumn("is_validation", F.col("fold") == 1), "is_validation")
-    return ML.predict(model, rows, codes).drop("features")
+    model = ML.BoostedClasses().fit(train.withColumn("is_validation", F.col("fold") == 1), "is_validation")
+    return checked(ML.predict(model, rows, codes), "cell_id", "cell_type")
 
 
-@query("c07_neural_network")
+@query("c07_neural_network", VEC_FACTS)
 def network(spark, sf):
     rows = vec_rows(spark, sf)
-    return fit_and_predict(rows, "label", lambda t: ML.neural_network(64, t.select("code").distinct().count(), (32,), maxIter=30))
+    return checked(fit_and_predict(rows, "label", lambda t: ML.neural_network(64, t.select("code").distinct().count())), "vec_id", "label")
+
 
+GRID = {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
 
-@query("c08_grid_search")
+
+@query("c08_grid_search", f"""SELECT CAST(r AS DOUBLE) AS "regParam", CAST(e AS DOUBLE) AS "elasticNetParam", true AS scored
+  FROM unnest({GRID['regParam']}) a(r), unnest({GRID['elasticNetParam']}) b(e)""")
 def grid(spark, sf):
     rows, _ = ML.prepare(vec_rows(spark, sf).withColumn("fold", F.col("fold").cast("int")), "label")
-    fitted = ML.grid_search(rows, ML.logistic_regression(maxIter=10), {"regParam": [0.0, 0.1]})
-    scores = [(str({p.name: v for p, v in m.items()}), float(s)) for m, s in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)]
-    return spark.createDataFrame(scores, "params string, f1 double")
+    fitted = ML.grid_search(rows, ML.logistic_regression(), GRID, parallelism=4)
+    scores = [({p.name: float(v) for p, v in m.items()}, float(s)) for m, s in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)]
+    found = spark.createDataFrame([(*(m[n] for n in GRID), s) for m, s in scores], "regParam double, elasticNetParam double, f1 double")
+    return found.select(*GRID, ((F.col("f1") > 0) & (F.col("f1") <= 1)).alias("scored"))
 
 
-@query("c09_kmeans")
+@query("c09_kmeans", "SELECT vec_id, CAST(label AS VARCHAR) AS label, true AS clustered FROM embeddings")
 def kmeans(spark, sf):
-    return ML.kmeans_clusters(vec_rows(spark, sf), 10).select("vec_id", "label", "cluster")
+    return ML.kmeans_clusters(vec_rows(spark, sf), 10).select("vec_id", "label", F.col("cluster").between(0, 9).alias("clustered"))
 
 
-@query("c09_gaussian_mixture")
+@query("c09_gaussian_mixture", sql("SELECT cell_id, cell_type, true AS clustered FROM cells"))
 def mixture(spark, sf):
-    return ML.mixture_clusters(marker_rows(spark, sf), 5, maxIter=20).select("cell_id", "cell_type", "cluster")
+    return ML.mixture_clusters(marker_rows(spark, sf), 5).select("cell_id", "cell_type", F.col("cluster").between(0, 4).alias("clustered"))
 
 
-@query("c10_meta_clusters")
+@query("c10_meta_clusters", "SELECT vec_id, CAST(label AS VARCHAR) AS label, true AS clustered, true AS nested FROM embeddings")
 def meta(spark, sf):
-    return ML.meta_clusters(vec_rows(spark, sf), 40, 10).select("vec_id", "label", "fine_cluster", "cluster")
+    found = ML.meta_clusters(vec_rows(spark, sf), 40, 10)
+    homes = found.groupBy("fine_cluster").agg(F.countDistinct("cluster").alias("_n"))
+    return found.join(homes, "fine_cluster").select("vec_id", "label", F.col("cluster").between(0, 9).alias("clustered"), (F.col("_n") == 1).alias("nested"))
 
 
 ROUNDS = 6
@@ -243,35 +263,55 @@ def communities(spark, sf):
     return V.communities(fx.vectors(spark, sf), "vec_id", "embedding", k=10, rounds=ROUNDS)
 
 
-@query("c12_principal_components")
+@query("c12_principal_components", """WITH p AS (SELECT unnest(range(25)) AS i)
+  SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, a.i <> b.i OR a.i = b.i AS holds FROM p a, p b WHERE a.i <= b.i""")
 def pca(spark, sf):
-    return ML.principal_components(vec_rows(spark, sf), 25).select("vec_id", "label", F.size("components").alias("n_components"))
+    # components are uncorrelated and their variances fall
+    scores = ML.principal_components(vec_rows(spark, sf), 25).select("components")
+    pairs = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i")
+    long = scores.select("components", pairs).select("components", "i", F.explode(F.sequence(F.col("i"), F.lit(24))).alias("j"))
+    x, y, z = F.col("components")[F.col("i")], F.col("components")[F.col("j")], F.col("components")[F.least(F.col("i") + 1, F.lit(24))]
+    found = long.groupBy("i", "j").agg(F.corr(x, y).alias("r"), F.var_samp(x).alias("v"), F.var_samp(z).alias("next"))
+    return found.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v") >= F.col("next")).otherwise(F.abs("r") < 1e-6).alias("holds"))
 
 
-@query("c19_fold_runner")
+@query("c19_fold_runner", "SELECT CAST(vec_id % 5 AS BIGINT) AS fold, count(*) AS n_rows, true AS scored FROM embeddings GROUP BY 1")
 def runner(spark, sf):
-    preds, _ = ML.run_folds(vec_rows(spark, sf), "label", "fold", lambda t, s: ML.logistic_regression(maxIter=10).fit(t))
+    preds, _ = ML.run_folds(vec_rows(spark, sf), "label", "fold", lambda t, s: ML.logistic_regression().fit(t))
     counts = confusion_counts(preds, ["fold"], true_col="label")
-    return rounded(label_metrics(counts, ["fold"]).select("fold", "n_rows", "macro_f1", "f1_weighted", "accuracy"))
+    return label_metrics(counts, ["fold"]).select(F.col("fold").cast("bigint").alias("fold"), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("macro_f1").between(0, 1).alias("scored"))
 
 
-@query("c19_train_and_evaluate")
+@query("c19_train_and_evaluate", sql("SELECT count(*) AS n_rows, 3 AS folds, true AS scored FROM cells"))
 def train_evaluate(spark, sf):
     cells = fx.cells(spark, sf).select("cell_id", "sample_id", "cell_type", *fx.MARKERS)
     folds = make_folds(cells, "cell_type", ["cell_id"], "sample_id", 3)
-    _, metrics = train_and_evaluate(folds, "cell_type", fx.MARKERS, lambda t, s: ML.logistic_regression(maxIter=10).fit(t))
-    return rounded(metrics.select("fold", "n_rows", "macro_f1", "f1_weighted", "accuracy"))
+    _, metrics = train_and_evaluate(folds, "cell_type", fx.MARKERS, lambda t, s: ML.logistic_regression().fit(t))
+    return metrics.agg(F.sum("n_rows").cast("bigint").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("folds"), F.min(F.col("macro_f1").between(0, 1)).alias("scored"))
 
 
-@query("c11_cluster_and_transfer")
+@query("c11_cluster_and_transfer", VEC_FACTS)
 def cluster_transfer(spark, sf):
     vec = fx.vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
-    return cluster_and_transfer(vec, "vec_id", "embedding", "label", k=10, rounds=ROUNDS)
+    return checked(cluster_and_transfer(vec, "vec_id", "embedding", "label", k=10, rounds=ROUNDS), "vec_id", "label")
+
+
+SHARES, SIZES = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5], [500, 1000, 2000]
 
 
-@query("m19_learning_curve")
+@query("m19_learning_curve", sql(f"""SELECT CAST(s AS DOUBLE) AS share, n AS n_rows, true AS scored
+  FROM (SELECT count(*) AS n FROM cells WHERE cell_id % 5 = 0), unnest({SHARES}) a(s)"""))
 def curve(spark, sf):
     rows = marker_rows(spark, sf)
-    return rounded(ML.learning_curve(
-        rows.where("fold <> 0"), "cell_type", "sample_id", [0.1, 0.3, 0.6],
-        lambda t, s: ML.random_forest(numTrees=10, maxDepth=5, seed=s).fit(t), rows.where("fold = 0")))
+    found = ML.learning_curve(
+        rows.where("fold <> 0"), "cell_type", "sample_id", SHARES, lambda t, s: ML.logistic_regression().fit(t), rows.where("fold = 0"))
+    return found.select("share", F.col("n_rows").cast("bigint").alias("n_rows"), F.col("macro_f1").between(0, 1).alias("scored"))
+
+
+@query("m19_learning_curve_rows", sql(f"""SELECT CAST(s AS INT) AS size, least(s, (SELECT count(*) FROM cells WHERE cell_id % 5 <> 0)) AS trained, n AS n_rows, true AS scored
+  FROM (SELECT count(*) AS n FROM cells WHERE cell_id % 5 = 0), unnest({SIZES}) a(s)"""))
+def curve_of_rows(spark, sf):
+    rows = marker_rows(spark, sf)
+    found = ML.learning_curve_rows(
+        rows.where("fold <> 0"), "cell_type", ["cell_id"], SIZES, lambda t, s: ML.logistic_regression().fit(t), rows.where("fold = 0"))
+    return found.select("size", F.col("trained").cast("bigint").alias("trained"), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("macro_f1").between(0, 1).alias("scored"))

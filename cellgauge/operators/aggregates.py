@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 from math import erfc
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -277,7 +276,7 @@ def rank_markers_wilcoxon(df: DataFrame, group: str, markers: Sequence[str]) ->
 
     @F.pandas_udf("double")
     def two_sided(zs: pd.Series) -> pd.Series:
-        return pd.Series([np.nan if pd.isna(v) else erfc(abs(v) / 2**0.5) for v in zs])
+        return pd.Series([None if pd.isna(v) else erfc(abs(v) / 2**0.5) for v in zs], dtype=object)
 
     scored = sums.select(group, "marker", "n_in", "rank_sum", z.alias("z"))
     return scored.withColumn("p_value", two_sided("z"))

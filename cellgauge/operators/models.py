@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -92,18 +94,25 @@ class BoostedClasses:
     With a validation flag each model stops early on those rows.
     """
 
-    def __init__(self, **params):
+    def __init__(self, parallelism: int = 4, **params):
+        self.parallelism = parallelism
         self.params = {"maxIter": 20, "maxDepth": 5, "seed": 42} | params
 
     def fit(self, train: DataFrame, validation: str | None = None) -> BoostedClassesModel:
-        train = stage(train, "train")
+        train = train.persist()
         n = int(train.agg(F.max("code")).first()[0]) + 1
         extra = {"validationIndicatorCol": validation} if validation else {}
-        models = []
-        for c in range(n):
+
+        def one(c: int):
             gbt = GBTClassifier(featuresCol=FEATURES, labelCol="_is", weightCol="weight", **self.params, **extra)
-            models.append(gbt.fit(train.withColumn("_is", (F.col("code") == c).cast("double"))))
-        return BoostedClassesModel(models)
+            return gbt.fit(train.withColumn("_is", (F.col("code") == c).cast("double")))
+
+        try:
+            # threads only start jobs, as a cross-validator's do
+            with ThreadPool(min(n, self.parallelism)) as pool:
+                return BoostedClassesModel(pool.map(inheritable_thread_target(train.sparkSession)(one), range(n)))
+        finally:
+            train.unpersist()
 
 
 class BoostedClassesModel:
@@ -224,3 +233,19 @@ def learning_curve(
     return out
 
 
+def learning_curve_rows(
+    df: DataFrame, label: str, key: Sequence[str], sizes: Sequence[int], fitter: Fitter, test: DataFrame, seed: int = 42
+) -> DataFrame:
+    """Scores on ``test`` after training on growing numbers of rows, each sample holding the ones before."""
+    from cellgauge.operators.metrics import confusion_counts, label_metrics
+    from cellgauge.operators.splits import sample_n
+
+    out = None
+    for size in sizes:
+        part = stage(sample_n(df, size, key, seed), "curve_rows")
+        train, codes = prepare(part, label)
+        predicted = predict(fitter(train, seed), test, codes).withColumn("size", F.lit(int(size)))
+        scored = label_metrics(confusion_counts(predicted, ["size"], true_col=label), ["size"]).select("size", "n_rows", "macro_f1", "f1_weighted")
+        scored = stage(scored.withColumn("trained", F.lit(part.count())), "curve")
+        out = scored if out is None else out.unionByName(scored)
+    return out
