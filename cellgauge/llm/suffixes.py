@@ -357,7 +357,9 @@ def _cut(length: int, with_text: bool):
                 starts = starts[gone] + at[first]
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + length, -1)
-        covered = np.cumsum(edge)[:-1] > 0
+        np.cumsum(edge, out=edge)
+        covered = edge[:-1] > 0
+        del edge
         begins = covered.copy()
         begins[1:] &= ~covered[:-1]
         cut = at[:-1][at[:-1] < at[1:]]
@@ -367,12 +369,15 @@ def _cut(length: int, with_text: bool):
         ends[cut[1:] - 1] |= covered[cut[1:] - 1]
         begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         per = np.searchsorted(begins, at)
-        gone = np.concatenate(([0], np.cumsum(covered)))
-        kept = [pack.texts.buf[a:b][~covered[a:b]].tobytes() for a, b in zip(at, at[1:])]
+        gone, sha, kept = [], [], []
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            left = pack.texts.buf[a:b][~covered[a:b]].tobytes()
+            gone.append(b - a - len(left))
+            sha.append(hashlib.sha256(left).hexdigest())
+            kept.append(left if with_text else None)
         doc_of = np.repeat(np.arange(len(pack.id)), np.diff(per))
         lists = [pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.array(v - at[doc_of], pa.int64())) for v in (begins, ends)]
-        sha = [hashlib.sha256(k).hexdigest() for k in kept]
-        return pa.table([id_array(pack.id), pa.array(np.diff(at)), pa.array(gone[at[1:]] - gone[at[:-1]]), pa.array(np.diff(per)), pa.array(sha, pa.string()), *lists, pa.array(kept if with_text else [None] * len(kept), pa.binary())],
+        return pa.table([id_array(pack.id), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(np.diff(per)), pa.array(sha, pa.string()), *lists, pa.array(kept, pa.binary())],
                         names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept"])
 
     return run
