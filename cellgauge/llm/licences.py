@@ -123,6 +123,7 @@ class Scanner:
         self.names = [*phrases.values(), *(name for name, _ in templates)]
         self.n_phrases = len(phrases)
         self.sizes = [len(t) for t in texts]
+        self.least = min([min_match, *self.sizes[self.n_phrases:]])  # of a stretch that can hold a match of any template
         vocabulary = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
         flat = Texts.of(pa.array([" ".join(w.decode() for w in vocabulary)]))
@@ -163,7 +164,7 @@ class Scanner:
         edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # words lo..hi, both included
         seen = np.concatenate(([0], np.cumsum(told)))
-        keep = (hi - lo + 1 >= self.min_match) | (seen[hi] > seen[lo])
+        keep = (hi - lo + 1 >= self.least) | (seen[hi] > seen[lo])
         lo, hi = lo[keep], hi[keep]
         owner = np.searchsorted(first, lo, side="right") - 1
         i = 0

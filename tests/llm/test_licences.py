@@ -50,6 +50,15 @@ def test_templates_are_found_whole_changed_and_in_parts(spark):
     assert got[3].labels == got[4].labels == got[5].labels == "" and 0.2 < got[3].score < 0.5
 
 
+def test_every_template_alone_is_found(spark):
+    docs = [(i, t) for i, (_, t) in enumerate(TEMPLATES)] + [(100 + i, f"before it: {t}. Then more") for i, (_, t) in enumerate(TEMPLATES)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows(docs), DOCS)).collect()}
+    for i, (label, text) in enumerate(TEMPLATES):
+        for r, at in ((got[i], 0), (got[100 + i], 2)):
+            assert r.score == 1 and label in r.labels.split(",")
+            assert (label, at, at + len(split_words(text)) - 1, 1.0) in [(s.label, s.first, s.last, s.score) for s in r.spans]
+
+
 def test_edges(edges, nothing):
     got = license_scan(edges).collect()
     assert sorted(map(str, ((r.doc_id, told(r)) for r in got))) == sorted(str((d, base(t))) for d, t in EDGES)
