@@ -111,17 +111,30 @@ def _hits(masks: Sequence[str], known: np.ndarray, bits: int, reach: int):
     return run
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, max_substituted: float) -> tuple[int, int, int]:
-    """The best stretch where item word i meets document word i + diagonal: first and last item word, words that agree."""
+def overlaps(doc: np.ndarray, item: np.ndarray, diagonal: int, max_substituted: float, least: float) -> Iterator[tuple[int, int, int]]:
+    """Disjoint stretches where item word i meets document word i + diagonal, best first: first and last item word, words that agree.
+
+    ``least`` words or more agree in each.
+    """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if high <= low:
-        return 0, -1, 0
+        return
     same = doc[low + diagonal: high + diagonal] == item[low:high]
-    gain = np.concatenate(([0.0], np.cumsum(np.where(same, max_substituted, max_substituted - 1.0))))
-    floor = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - floor))
-    begin = int(np.argmin(gain[: end + 1]))
-    return low + begin, low + end - 1, int(same[begin:end].sum())
+    todo = [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        if not same[a:b].any() or same[a:b].sum() < least:
+            continue
+        gain = np.concatenate(([0.0], np.cumsum(np.where(same[a:b], max_substituted, max_substituted - 1.0))))
+        floor = np.minimum.accumulate(gain)
+        end = int(np.argmax(gain - floor))
+        begin = int(np.argmin(gain[: end + 1]))
+        if end == begin:
+            continue
+        n = int(same[a + begin: a + end].sum())
+        if n >= least:
+            yield low + a + begin, low + a + end - 1, n
+        todo += [(a, a + begin), (a + end, b)]
 
 
 def _verify(min_words: int, max_substituted: float):
@@ -131,9 +144,8 @@ def _verify(min_words: int, max_substituted: float):
             for k in range(len(batch)):
                 doc, item = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("words", "item_words"))
                 diagonal = batch.column("diagonal")[k].as_py()
-                first, last, same = overlap(doc, item, diagonal, max_substituted)
-                if same >= min(min_words, (1 - max_substituted) * len(item)) and same:
-                    at = batch.column("begin")[k].as_py() + diagonal
+                at = batch.column("begin")[k].as_py() + diagonal
+                for first, last, same in overlaps(doc, item, diagonal, max_substituted, min(min_words, (1 - max_substituted) * len(item))):
                     rows.append((batch.column("_id")[k].as_py(), batch.column("item")[k].as_py(), at + first, at + last, first, last, same))
             columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "item", "first_word", "last_word", "item_first", "item_last", "n_same"])
@@ -148,7 +160,7 @@ def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MAS
     Words are runs of digits, letters and non-ASCII characters, with A-Z and
     the accented capitals of Latin-1 in lower case. A stretch is reported where at least ``min_words`` words agree
     (or all of a shorter item but the share ``max_substituted``), with at most
-    that share of substitutions. Items of fewer than ``shortest`` words are
+    that share of substitutions, each of several on one diagonal. Items of fewer than ``shortest`` words are
     ignored, those shorter than a mask need one place without substitution.
     Null texts have no words; repeated rows report once; null ids stay null.
     """

@@ -45,6 +45,15 @@ def test_substitutions(spark):
     assert tiny.exceptAll(contaminations(frame, items)).count() == 0 and tiny.count() >= 60
 
 
+def test_every_stretch_of_a_diagonal(spark):
+    item = prose(60, 60).split()
+    changed = [w if i < 20 or i >= 35 else f"x{i}" for i, w in enumerate(item)]
+    docs = [(1, f"{prose(61, 30)} {' '.join(changed)} {prose(62, 30)}")]
+    items = spark.createDataFrame([(1, " ".join(item), "", "")], ITEMS)
+    got = contaminations(spark.createDataFrame(rows(docs), DOCS), items).collect()
+    assert sorted((r.first_word, r.last_word, r.item_first, r.item_last, r.n_same) for r in got) == [(30, 49, 0, 19, 20), (65, 89, 35, 59, 25)]
+
+
 def test_edges(spark, edges, nothing):
     text = prose(8, 60)
     items = spark.createDataFrame([(1, text, "", ""), (1, text, "", ""), (2, None, "", ""), (3, "", "", ""), (4, "no id here at all", "", ""), (5, "one", "", ""), (None, text, "", "")], ITEMS)
