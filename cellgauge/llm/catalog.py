@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm.contamination import contaminations
 from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
+from cellgauge.llm.packing import pack_documents
 from cellgauge.llm.passages import shared_passages
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.simhash import simhash_components
@@ -160,6 +161,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op13_pack")
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -11,7 +11,7 @@ from tests.conftest import SF
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names}
     assert "pipeline" in names
 
 
