@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm.contamination import contaminations
 from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
+from cellgauge.llm.negatives import hard_negatives
 from cellgauge.llm.packing import pack_documents
 from cellgauge.llm.passages import shared_passages
 from cellgauge.llm.quality import quality_rules
@@ -161,6 +162,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op11_hard_negatives", """
+with i as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from i a join i b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (
+  select p.anchor_id, positive_id, positive_score, other_id as negative_id, score as negative_score,
+         row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return hard_negatives(vectors, vectors.filter("vec_id % 100 = 0").select("vec_id"))
+
+
 @query("op13_pack")
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
