@@ -12,14 +12,15 @@ runs, and gives what best fit gives to one piece after the other: a gap takes
 pieces of a length until none fits, since it is then the tightest. There are at
 most ``capacity`` lengths, and a gap at least halves whenever it is used, so
 the sweep and the matches it writes down are bounded by the capacity whatever
-the number of documents. All that is done per piece (encoding, ranks within a
+the number of documents. Where a vocabulary never looks across white space,
+a task encodes a word once. All that is done per piece (encoding, ranks within a
 length, the step from rank to gap) is spread over the tasks.
 """
 
 from __future__ import annotations
 
 import bisect
-import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator, Mapping
@@ -29,50 +30,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgauge.llm.text import Texts, span_hash
 from cellgauge.operators.ranks import hash_rank
 from cellgauge.session import stage
 
-ENCODE_CHARS = 256 << 10
 RANK_BITS = 43
+#: texts gathered before they are encoded together, distinct words a task remembers
+TEXT_BYTES, WORDS = 4 << 20, 1 << 20
+#: fixed values: a pre-tokenizer of this pattern, which keeps matches only, and such normalizers never look across ASCII white space
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+
+
+def wordwise(path: str) -> bool:
+    """Whether the ids of a text are those of its words (at ASCII white space) one after the other."""
+    with open(path, "rb") as f:
+        model = json.load(f)
+    steps = (model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, norm = steps[0], model.get("normalizer") or {}
+    spaces = [n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norm.get("normalizers", []) if n["type"] == "Replace"]
+    whole = any(c in t["content"] for t in model.get("added_tokens", []) for c in " \t\n\v\f\r") or any(t[k] for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    return (
+        first.get("pattern") == {"Regex": WORDWISE} and first["behavior"] == "Removed" and first["invert"] and model.get("post_processor") is None
+        and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and {n["type"] for n in norm.get("normalizers", [])} <= NORMALIZERS and all(spaces) and not whole
+    )
+
+
+class Encoder:
+    """Ids of texts, all in one array. Words that a task has met are not encoded again where that gives the same ids.
+
+    The file must stand at the same path on every executor.
+    """
 
-
-@functools.lru_cache(maxsize=4)
-def _encoder(path: str):
-    """Lists of texts to lists of ids. The file must stand at the same path on every executor."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.model, self.end_id, self.by_word = Tokenizer.from_file(path), end_id, wordwise(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, "<u4")
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text, and where each text starts."""
+        if self.by_word:
+            starts, ends, first = part.tokens()
+            words, one, which = np.unique(span_hash(part.prefix(), starts, ends), return_index=True, return_inverse=True)
+            new = np.flatnonzero(~np.isin(words, self.known))
+            if len(new):
+                ids, size = self.flat([part.buf[a:b].tobytes().decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+                at = len(self.ids) + np.cumsum(size) - size
+                known = np.concatenate((self.known, words[new]))
+                order = np.argsort(known)
+                self.known, self.at = known[order], np.concatenate((self.at, np.stack((at, size), axis=1)))[order]
+                self.ids = np.concatenate((self.ids, ids))
+            at, size = self.at[np.searchsorted(self.known, words)][which].T if len(which) else np.zeros((2, 0), np.int64)
+            total = np.concatenate(([0], np.cumsum(size)))
+            ids = self.ids[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
+            ends = total[first[1:]]
+            if len(self.known) > WORDS:
+                self.forget()
+        else:
+            ids, size = self.flat([part.slice(i).decode() for i in range(len(part))])
+            ends = np.cumsum(size)
+        return np.insert(ids, ends, self.end_id), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
 
 
 def _cut(path: str, capacity: int, end_id: int):
-    def pieces(ids: list[int]) -> list[tuple[int, int, int, int]]:
-        raw = np.array([*ids, end_id], "<u4").tobytes()
-        n = len(ids) + 1
-        return [(p, s, min(capacity, n - s), zlib.crc32(raw[4 * s: 4 * (s + capacity)])) for p, s in enumerate(range(0, n, capacity))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = Encoder(path, end_id)
         for batch in batches:
-            coded = batch.column("_text").dictionary_encode()  # a text that repeats in a batch is encoded once
-            cut, some, held = [], [], 0
-            for text in coded.dictionary:
-                some.append(text.as_py())
-                held += len(some[-1])
-                if held >= ENCODE_CHARS:
-                    cut += [pieces(ids) for ids in encode(some)]
-                    some, held = [], 0
-            cut += [pieces(ids) for ids in encode(some)] if some else []
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            flat = [row for k in which for row in cut[k]]
-            rows = np.repeat(np.arange(len(which)), [len(cut[k]) for k in which])
-            table = np.array(flat, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(rows)), *(pa.array(table[:, i]).cast(t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64())))],
-                ["_id", "piece", "start", "length", "ids_crc32"])
+            for at, part in Texts.of(batch.column("_text")).chunks(TEXT_BYTES):
+                ids, edges = encode(part)
+                count = -(-np.diff(edges) // capacity)
+                doc = np.repeat(np.arange(len(part)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(edges)[doc] - start)
+                raw, low = memoryview(ids.astype("<u4").tobytes()), 4 * (edges[doc] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").take(pa.array(at + doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                    ["_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

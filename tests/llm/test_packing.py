@@ -4,11 +4,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from cellgauge.llm.catalog import queries
-from cellgauge.llm.packing import best_fit, pack_documents
+from cellgauge.llm.packing import Encoder, best_fit, pack_documents
+from cellgauge.llm.text import Texts
 from tests.conftest import SF
 from tests.llm.conftest import EDGES
 
@@ -87,3 +89,21 @@ def test_edges(edges, nothing):
     assert pieces == expected(EDGES, 64)
     checked(places, 64)
     assert pack_documents(nothing, FILE).count() == 0
+
+
+def test_words_alone_give_the_same_ids():
+    odd = ["", "  ", "a\u0301 e \u0301x", "ΑΣ Σ ΣΑ'S it's don't 's '", "<|endoftext|>a <|startoftext|> <|endof text|>", "12 3４ ½ x\u00a0y\u2003z \x1c\x85 ﬁ İI ǅ", "\u0308 \U0001F600\U0001F600 日本 語\r\n\v\f\tend", "x" * 5000]
+    model, encode = Tokenizer.from_file(FILE), Encoder(FILE, 1)
+    for texts in (odd, odd[::-1], [t + " " + u for t in odd for u in odd]):
+        ids, at = encode(Texts.of(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert encode.by_word and len(encode.known)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_vocabularies_take_whole_texts(name):
+    path = public_tokenizers.path(name)
+    model, encode = Tokenizer.from_file(path), Encoder(path, 1)
+    texts = ["two  words\n", "", " x y"]
+    ids, at = encode(Texts.of(pa.array(texts)))
+    assert not encode.by_word and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
