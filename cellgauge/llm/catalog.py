@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgauge.llm.collocations import collocations
 from cellgauge.llm.contamination import contaminations
 from cellgauge.llm.licences import license_scan
 from cellgauge.llm.mixing import mix_plan
@@ -184,6 +185,34 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, vectors.filter("vec_id % 100 = 0").select("vec_id"))
 
 
+@query("op12_collocations", r"""
+with w as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) as i from (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (
+      select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents))),
+g as (
+  select lang, ws[i : i + k - 1] as p, k from w, (select unnest([1, 2, 3, 4]) as k) where i + k - 1 <= len(ws)),
+f as (select lang, p, k, count(*) as f from g group by all),
+t as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, p, k, f as a from f where k > 1 and f >= 30),
+s as (
+  select c.lang, c.p, c.k, c.a, j, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f::hugeint + y.f))::bigint as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f x on x.lang = c.lang and x.p = c.p[1 : j] join f y on y.lang = c.lang and y.p = c.p[j + 1 : c.k]
+  qualify row_number() over (partition by c.lang, c.p order by (2000000::hugeint * c.a // (x.f::hugeint + y.f)), j) = 1),
+b as (
+  select lang, p[i : i + m - 1] as p, max(a) as longer
+  from c, (select unnest([2, 3]) as m), (select unnest([1, 2, 3]) as i) where m < k and i + m - 1 <= k group by all)
+select s.lang, row_number() over (partition by s.lang order by score desc, a desc, array_to_string(s.p, ' '))::int as rank, array_to_string(s.p, ' ') as phrase, a, l, r, n, score
+from s join t on t.lang = s.lang left join b on b.lang = s.lang and b.p = s.p
+where longer is null or 100::hugeint * longer < 80 * a
+qualify rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_pack")
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
