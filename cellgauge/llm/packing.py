@@ -37,9 +37,14 @@ from cellgauge.session import stage
 RANK_BITS = 43
 #: texts gathered before they are encoded together, distinct words a task remembers
 TEXT_BYTES, WORDS = 4 << 20, 1 << 20
+#: words encoded as one text
+JOINED = 4096
 #: fixed values: a pre-tokenizer of this pattern, which keeps matches only, and such normalizers never look across ASCII white space
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+TAIL, SOLID = np.zeros(256, bool), np.zeros(256, bool)
+TAIL[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True  # not the apostrophe, nor what added tokens are made of
+SOLID[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = True
 
 
 def wordwise(path: str) -> bool:
@@ -49,7 +54,7 @@ def wordwise(path: str) -> bool:
     steps = (model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     first, norm = steps[0], model.get("normalizer") or {}
     spaces = [n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norm.get("normalizers", []) if n["type"] == "Replace"]
-    whole = any(c in t["content"] for t in model.get("added_tokens", []) for c in " \t\n\v\f\r") or any(t[k] for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    whole = any(c in t["content"] for t in model.get("added_tokens", []) for c in " \t\n\v\f\r") or any(set(t["content"]) & set("!\"#$%&()*+,-./:;=?@[]^_`{}~") for t in model.get("added_tokens", [])) or any(t[k] for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
     return (
         first.get("pattern") == {"Regex": WORDWISE} and first["behavior"] == "Removed" and first["invert"] and model.get("post_processor") is None
         and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
@@ -63,6 +68,8 @@ class Encoder:
     The file must stand at the same path on every executor.
     """
 
+    mark = b"\0"
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -70,27 +77,76 @@ class Encoder:
         self.model, self.end_id, self.by_word = Tokenizer.from_file(path), end_id, wordwise(path)
         self.model.no_truncation()
         self.model.no_padding()
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = np.array([ord(t[0]) for t in added if t and t.isascii()], np.uint8)
+        self.lower = self.by_word and all(t.isascii() for t in added) and self.model.normalizer.normalize_str("AZ") == "az"
         self.forget()
 
     def forget(self) -> None:
         self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, "<u4")
 
+    def folded(self, part: Texts) -> Texts:
+        """A-Z in lower case, as the vocabulary takes them, but for texts with a character that begins an added token."""
+        if not self.lower:
+            return part
+        low = part.folded()
+        for t in np.unique(part.owner(np.flatnonzero(np.isin(part.buf, self.added)))):
+            low.buf[part.at[t]: part.at[t + 1]] = part.buf[part.at[t]: part.at[t + 1]]
+        return low
+
+    @staticmethod
+    def cut_tails(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, with punctuation behind a last letter or digit as one of its own: the pattern cuts there anyway."""
+        starts, ends, first = part.tokens()
+        if not len(starts):
+            return starts, ends, first
+        last = np.maximum.accumulate(np.where(TAIL[part.buf], -1, np.arange(len(part.buf))))[ends - 1]
+        cut = (last >= starts) & (last < ends - 1) & SOLID[part.buf[last]]
+        tops = np.sort(np.concatenate((starts, last[cut] + 1)))
+        return tops, np.sort(np.concatenate((ends, last[cut] + 1))), np.searchsorted(tops, part.at)
+
+    def flat_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``flat``, for words: many in one text, told apart by a word whose only id no other of them has."""
+        plain = [i for i, w in enumerate(words) if self.mark not in w]
+        others = sorted(set(range(len(words))) - set(plain))
+        mark = self.model.encode(self.mark.decode(), add_special_tokens=False).ids
+        runs = [plain[i: i + JOINED] for i in range(0, len(plain), JOINED)]
+        between = b" " + self.mark + b" "
+        texts = [(between.join(words[i] for i in run)).decode() for run in runs] + [words[i].decode() for i in others]
+        found = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        pieces, sizes = [], np.zeros(len(words), np.int64)
+        for run, ids in zip(runs, found):
+            own = ids != mark[0]
+            ends = np.append(np.flatnonzero(~own), len(ids))
+            if len(mark) != 1 or len(ends) != len(run):
+                return self.flat([w.decode() for w in words])
+            sizes[run] = np.diff(ends, prepend=-1) - 1
+            pieces.append(ids[own])
+        sizes[others] = [len(ids) for ids in found[len(runs):]]
+        ids = np.concatenate([*pieces, *found[len(runs):]]) if len(words) else np.zeros(0, "<u4")
+        at = np.zeros(len(words), np.int64)
+        order = np.array(plain + others, np.int64)
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ids, np.stack((at, sizes), axis=1)
+
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each start and how many they are."""
         found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+        size = np.array([len(ids) for ids in found], np.int64)
+        return np.array([i for ids in found for i in ids], "<u4"), np.stack((np.cumsum(size) - size, size), axis=1)
 
     def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and where each text starts."""
         if self.by_word:
-            starts, ends, first = part.tokens()
+            part = self.folded(part)
+            starts, ends, first = self.cut_tails(part)
             words, one, which = np.unique(span_hash(part.prefix(), starts, ends), return_index=True, return_inverse=True)
             new = np.flatnonzero(~np.isin(words, self.known))
             if len(new):
-                ids, size = self.flat([part.buf[a:b].tobytes().decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
-                at = len(self.ids) + np.cumsum(size) - size
+                ids, spans = self.flat_words([part.buf[a:b].tobytes() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
                 known = np.concatenate((self.known, words[new]))
                 order = np.argsort(known)
-                self.known, self.at = known[order], np.concatenate((self.at, np.stack((at, size), axis=1)))[order]
+                self.known, self.at = known[order], np.concatenate((self.at, spans + [len(self.ids), 0]))[order]
                 self.ids = np.concatenate((self.ids, ids))
             at, size = self.at[np.searchsorted(self.known, words)][which].T if len(which) else np.zeros((2, 0), np.int64)
             total = np.concatenate(([0], np.cumsum(size)))
@@ -99,8 +155,8 @@ class Encoder:
             if len(self.known) > WORDS:
                 self.forget()
         else:
-            ids, size = self.flat([part.slice(i).decode() for i in range(len(part))])
-            ends = np.cumsum(size)
+            ids, spans = self.flat([part.slice(i).decode() for i in range(len(part))])
+            ends = spans.sum(axis=1)
         return np.insert(ids, ends, self.end_id), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
 
 

@@ -92,7 +92,7 @@ def test_edges(edges, nothing):
 
 
 def test_words_alone_give_the_same_ids():
-    odd = ["", "  ", "a\u0301 e \u0301x", "ΑΣ Σ ΣΑ'S it's don't 's '", "<|endoftext|>a <|startoftext|> <|endof text|>", "12 3４ ½ x\u00a0y\u2003z \x1c\x85 ﬁ İI ǅ", "\u0308 \U0001F600\U0001F600 日本 語\r\n\v\f\tend", "x" * 5000]
+    odd = ["", "  ", "a\u0301 e \u0301x", "ΑΣ Σ ΣΑ'S it's don't 's '", "<|endoftext|>a <|startoftext|> <|endof text|>", "12 3４ ½ x\u00a0y\u2003z \x1c\x85 ﬁ İI ǅ", "\u0308 \U0001F600\U0001F600 日本 語\r\n\v\f\tend", "x" * 5000, "A\0B \0 C\0\0", "AB ab Ab <|ENDOFTEXT|> É é", "a. b.. c'.. d'. e.' f,g. 5%! é. .x. x.y. ... .' a.<|endoftext|>. x.\u0301 y.é", "it's. 's. don't!? e-mail's-,"]
     model, encode = Tokenizer.from_file(FILE), Encoder(FILE, 1)
     for texts in (odd, odd[::-1], [t + " " + u for t in odd for u in odd]):
         ids, at = encode(Texts.of(pa.array(texts)))
