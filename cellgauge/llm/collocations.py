@@ -40,7 +40,7 @@ SHARDS = 3
 SLOT_BITS = 22
 NEVER = 255
 #: keys a task gathers before it counts them
-HELD = 1 << 22
+HELD = 1 << 21
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 GAP = BREAK.copy()
@@ -184,11 +184,16 @@ def _flat(*names: str):
 
 def _read(longest: int, bits: int, wanted):
     """Frequent phrases of a batch with their words, and how many words there are of each language (length 0)."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def named(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["lang", "length", "phrase", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, total, seen, rows = batch.column("_lang").to_pylist(), {}, [np.zeros(0, np.uint64)] * (longest + 1), []
+            langs, total, seen = batch.column("_lang").to_pylist(), {}, [np.zeros(0, np.uint64)] * (longest + 1)
             for at, words in _parts(batch):
+                rows = []
                 for t, n in enumerate(np.bincount(words.text).tolist()):
                     total[langs[at + t]] = total.get(langs[at + t], 0) + n
                 for n in range(1, min(longest, len(words.own)) + 1):
@@ -198,9 +203,8 @@ def _read(longest: int, bits: int, wanted):
                     fresh = ~np.isin(new, seen[n])
                     seen[n] = np.concatenate((seen[n], new[fresh]))
                     rows += [(langs[at + words.text[i]], n, words.phrase(i, n), k) for k, i in zip(new[fresh].view(np.int64).tolist(), some[first[fresh]].tolist())]
-            rows += [(lang, 0, "", n) for lang, n in total.items() if n]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "length", "phrase", "key"])
+                yield named(rows)
+            yield named([(lang, 0, "", n) for lang, n in total.items() if n])
 
     return run
 
