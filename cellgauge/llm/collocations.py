@@ -17,8 +17,9 @@ gives it from the first time both parts are in.
 
 Counts travel packed: a task sends the sorted keys of a batch and their counts
 to hash buckets, where they are added to the counts of the steps before.
-Phrases leave a bucket when their cycle is complete. A last scan reads the
-words of the frequent phrases, and tables of these give the scores.
+Phrases leave a bucket when their cycle is complete. The words of the frequent
+phrases are read last, shard by shard and each time only those not yet found,
+of which there are few after a small part; tables of them give the scores.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ SHARDS = 3
 #: slots of the table of steps, for each length
 SLOT_BITS = 22
 NEVER = 255
+#: bits of the filter of phrases whose words are still to be read
+MASK_BITS = 26
+#: share of the first shard that is read for words before the rest of it
+FIRST_READ = 16
 #: keys a task gathers before it counts them
 HELD = 1 << 21
 BREAK = np.zeros(256, bool)
@@ -52,9 +57,14 @@ _TYPES = (("keys", np.uint64), ("counts", np.int64), ("starts", np.uint8), ("len
 
 
 class Words:
-    """The words of lower-cased texts: spans, hashes that tell languages apart, and the number of the piece."""
+    """The words of lower-cased texts: spans, hashes that tell languages apart, and the number of the piece.
+
+    ``langs`` holds the hash of the language of each text, which is also the
+    key (of length 0) under which its words are counted together.
+    """
 
     def __init__(self, part: Texts, langs: np.ndarray):
+        self.langs = langs
         self.low = part.folded()
         self.starts, self.ends, first = self.low.tokens(GAP)
         self.text = np.repeat(np.arange(len(part)), np.diff(first))
@@ -121,12 +131,14 @@ def _count(step: int, shards: int, longest: int, bits: int, buckets: int, known)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *_packed(part)], PACKED.replace(" int", "").replace(" binary", "").split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, held, size = known.value, [], 0
+        reached, held, total = known.value, [], 0
         for batch in batches:
             for _, words in _parts(batch):
                 some = []
                 if step < shards:
                     some.append((words.own, 0, 1))
+                    size = np.bincount(words.text, minlength=len(words.langs))
+                    held.append((words.langs, size, np.zeros(len(size), np.uint8), np.zeros(len(size), np.uint8)))
                 shorter = words.own
                 for n in range(2, longest + 1):
                     if len(words.own) < n:
@@ -138,11 +150,11 @@ def _count(step: int, shards: int, longest: int, bits: int, buckets: int, known)
                     some.append((shorter[live], start[live], n))
                 for keys, start, n in some:
                     held.append((keys, np.ones(len(keys), np.int64), np.broadcast_to(np.uint8(start) if np.isscalar(start) else start.astype(np.uint8), keys.shape), np.full(len(keys), n, np.uint8)))
-                    size += len(keys)
-                if size > HELD:
+                    total += len(keys)
+                if total > HELD:
                     yield from flush(held)
-                    held, size = [], 0
-        if size:
+                    held, total = [], 0
+        if total:
             yield from flush(held)
 
     return run
@@ -182,35 +194,37 @@ def _flat(*names: str):
     return run
 
 
-def _read(longest: int, bits: int, wanted):
-    """Frequent phrases of a batch with their words, and how many words there are of each language (length 0)."""
+def _read(longest: int, wanted):
+    """The words of phrases whose keys pass the filter, each once a batch; for length 0 the language alone."""
     kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
 
     def named(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["lang", "length", "phrase", "key"])
 
+    def passes(keys: np.ndarray) -> np.ndarray:
+        slot = _slots(keys, MASK_BITS)
+        return wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, total, seen = batch.column("_lang").to_pylist(), {}, [np.zeros(0, np.uint64)] * (longest + 1)
+            langs, seen = batch.column("_lang").to_pylist(), [np.zeros(0, np.uint64)] * (longest + 1)
             for at, words in _parts(batch):
                 rows = []
-                for t, n in enumerate(np.bincount(words.text).tolist()):
-                    total[langs[at + t]] = total.get(langs[at + t], 0) + n
-                for n in range(1, min(longest, len(words.own)) + 1):
-                    keys = words.keys(n)
-                    some = np.flatnonzero(words.whole(n) & wanted.value[n - 1][_slots(keys, bits)])
+                for n in range(min(longest, len(words.own)) + 1):
+                    keys = words.keys(n) if n else words.langs
+                    some = np.flatnonzero(words.whole(n) & passes(keys) if n else passes(keys))
                     new, first = np.unique(keys[some], return_index=True)
                     fresh = ~np.isin(new, seen[n])
                     seen[n] = np.concatenate((seen[n], new[fresh]))
-                    rows += [(langs[at + words.text[i]], n, words.phrase(i, n), k) for k, i in zip(new[fresh].view(np.int64).tolist(), some[first[fresh]].tolist())]
+                    found = zip(new[fresh].view(np.int64).tolist(), some[first[fresh]].tolist())
+                    rows += [(langs[at + words.text[i]], n, words.phrase(i, n), k) if n else (langs[at + i], 0, "", k) for k, i in found]
                 yield named(rows)
-            yield named([(lang, 0, "", n) for lang, n in total.items() if n])
 
     return run
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 30, longest: int = LONGEST, shards: int = SHARDS, bits: int = SLOT_BITS, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, length, phrase, f) of all phrases of up to ``longest`` words with f >= ``threshold``, and one row of length 0 per language, whose f counts all words."""
+    """(lang, length, phrase, f) of all phrases of up to ``longest`` words with f >= ``threshold``, and one row of length 0 for each language with so many words, whose f counts them all."""
     spark = docs.sparkSession
     rows = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(lang), F.lit("und")).alias("_lang"), F.col(text).alias("_text"))
     # a scan reads one shard only
@@ -239,21 +253,34 @@ def frequent_phrases(docs: DataFrame, threshold: int = 30, longest: int = LONGES
         step += 1
     counted = spark.read.schema(f"{schema}, step int").parquet(folder).filter(F.col("kind") == COUNTED).select("keys", "counts")
     counts = stage(counted.mapInArrow(_flat("keys", "counts"), "keys bigint, counts bigint"), "frequent")
-    return _with_words(sharded, counts, longest, bits)
-
-
-def _with_words(sharded: DataFrame, counts: DataFrame, longest: int, bits: int) -> DataFrame:
-    spark = sharded.sparkSession
-    # one table of slots serves all lengths; what else falls into a slot leaves in the join
-    slots = counts.select(F.shiftrightunsigned("keys", 64 - bits).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    wanted = np.zeros(1 << bits, bool)
-    wanted[slots] = True
-    known = spark.sparkContext.broadcast([wanted] * longest)
-    seen = stage(sharded.select("_lang", "_text").mapInArrow(_read(longest, bits, known), "lang string, length int, phrase string, key bigint"), "phrases")
-    known.unpersist()
-    named = seen.filter("length > 0").join(counts, F.col("key") == F.col("keys")).groupBy("lang", "length", "phrase").agg(F.max("counts").alias("f"))
-    totals = seen.filter("length = 0").groupBy("lang").agg(F.lit(0).alias("length"), F.lit("").alias("phrase"), F.sum("key").alias("f"))
-    return stage(named.unionByName(totals), "frequent-phrases")
+    return _with_words(sharded, counts, longest, shards)
+
+
+def _mask(keys: DataFrame) -> np.ndarray:
+    """The filter that all keys pass, as a bitmap put together by aggregates: 2^MASK_BITS bits reach the driver."""
+    slot = F.shiftrightunsigned("keys", 64 - MASK_BITS) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << MASK_BITS - 3, np.uint8)
+    for row in parts.collect():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        out[(row["at"] - 1) * 4096: (row["at"] - 1) * 4096 + len(bits)] = bits
+    return out
+
+
+def _with_words(sharded: DataFrame, counts: DataFrame, longest: int, shards: int) -> DataFrame:
+    spark, left, out = sharded.sparkSession, counts, None
+    turn = F.pmod(F.xxhash64("_text"), F.lit(FIRST_READ))
+    first = F.col("shard") == 0
+    for part in (first & (turn == 0), first & (turn != 0), *(F.col("shard") == i for i in range(1, shards))):
+        wanted = spark.sparkContext.broadcast(_mask(left))
+        seen = sharded.filter(part).select("_lang", "_text").mapInArrow(_read(longest, wanted), "lang string, length int, phrase string, key bigint")
+        found = stage(seen.join(left, F.col("key") == F.col("keys")).groupBy("lang", "length", "phrase", "keys").agg(F.max("counts").alias("f")), "phrases")
+        wanted.unpersist()
+        out = found if out is None else out.unionByName(found)
+        left = stage(left.join(found.select("keys"), "keys", "left_anti"), "unread")
+        if left.isEmpty():
+            break
+    return out.drop("keys")
 
 
 def _between(words: Column, k: Column, n: Column) -> Column:
