@@ -11,8 +11,8 @@ Buckets. Within ``radius`` bits at least ``blocks - radius`` of the blocks of a
 fingerprint agree, so every choice of that many blocks is a key: no pair is
 missed. With 8 blocks and radius 2 a key fixes 48 bits: a bucket never holds
 more than 65,536 different fingerprints, whatever the corpus. Equal
-fingerprints meet in an aggregate before that. For radii too wide for this,
-keys are made of minima of the shingle hashes (see ``near_copies``).
+fingerprints meet in an aggregate before that. Radii too wide for this need
+other keys (see ``nearcopies``).
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: BELOW[n] has the n lowest bits set
 BELOW = np.array([(1 << n) - 1 for n in range(65)], dtype=np.uint64)
 ITEMS = 1 << 16
-#: near copies that are still apart are compared up to this many bits first
-NARROW = 13
 NAMELESS = 1 << 62
 
 
@@ -180,22 +178,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[own], node[root[own]]
 
 
-def _compare(radius: int, first_only: bool):
+def _compare(radius: int):
     def links(key: np.ndarray, fp: np.ndarray, vertex: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((vertex, key))
         key, fp, vertex = key[order], fp[order], vertex[order]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in close_pairs(fp, key, radius):
-            if first_only:  # for each the first close one of the bucket, and the closest
-                for rank in (i, np.bitwise_count(fp[i] ^ fp[j])):
-                    order = np.lexsort((i, rank, j))
-                    lead = order[np.concatenate(([True], np.diff(j[order]) != 0))[: len(j)]]
-                    a.append(vertex[i[lead]])
-                    b.append(vertex[j[lead]])
-                some = np.unique(np.concatenate((vertex[i], vertex[j])))  # links to themselves name all that have a close one
-                a.append(some)
-                b.append(some)
-                continue
             i, j = forest(vertex[i], vertex[j])
             a.append(i)
             b.append(j)
@@ -216,39 +204,9 @@ def _compare(radius: int, first_only: bool):
     return run
 
 
-def _compare_apart(above: int, radius: int):
-    """All close pairs of a bucket more than ``above`` bits apart whose components differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: np.ndarray, fp: np.ndarray, vertex: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((vertex, component, key))
-            key, fp, vertex, component = key[order], fp[order], vertex[order], component[order]
-            # buckets of more than one component
-            bucket = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
-            mixed = np.zeros(int(bucket[-1]) + 1, bool)
-            mixed[bucket[1:][(component[1:] != component[:-1]) & (key[1:] == key[:-1])]] = True
-            live = mixed[bucket]
-            key, fp, vertex, component = key[live], fp[live], vertex[live], component[live]
-            for i, j in close_pairs(fp, key, radius):
-                apart = (component[i] != component[j]) & (np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) > above)
-                yield pa.RecordBatch.from_arrays([pa.array(vertex[i[apart]], pa.int64()), pa.array(vertex[j[apart]], pa.int64())], ["a", "b"])
-
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            rows = [np.concatenate((h, batch.column(c).to_numpy(zero_copy_only=False))) for h, c in zip(held, ("key", "fp", "vertex", "component"))]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last bucket may go on
-            held = [r[cut:] for r in rows]
-            if cut:
-                yield from links(rows[0][:cut], rows[1][:cut].view(np.uint64), *(r[:cut] for r in rows[2:]))
-        if len(held[0]):
-            yield from links(held[0], held[1].copy().view(np.uint64), *held[2:])
-
-    return run
-
-
-def _bucketed(keyed: DataFrame, radius: int, first_only: bool) -> DataFrame:
+def _bucketed(keyed: DataFrame, radius: int) -> DataFrame:
     lanes = keyed.select("key", "fp", "vertex").repartition("key").sortWithinPartitions("key")
-    return lanes.mapInArrow(_compare(radius, first_only), "a bigint, b bigint")
+    return lanes.mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, blocks: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,75 +222,8 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, block
     nameless = F.xxhash64("fp").bitwiseAND(NAMELESS - 1).bitwiseOR(NAMELESS)
     vertices = hashed.groupBy("fp").agg(F.min("_id").alias("vertex")).withColumn("vertex", F.coalesce("vertex", nameless))
     keyed = stage(vertices, "vertices")
-    links = _bucketed(keyed.withColumn("key", F.explode(block_keys(F.col("fp"), radius, blocks))), radius, False)
+    links = _bucketed(keyed.withColumn("key", F.explode(block_keys(F.col("fp"), radius, blocks))), radius)
     stars = components(links)
     found = keyed.join(stars, keyed["vertex"] == stars["member"], "left").select("fp", F.coalesce("component", "vertex").alias("component"))
     out = hashed.join(found, "fp")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
-
-
-def _shingle_sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for _, part in Texts.of(batch.column("_text")).chunks(1 << 20):
-                h, count = _shingle_hashes(part, shingle)
-                sets += [np.unique(own).view(np.int64) for own in np.split(h, np.cumsum(count)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column("_vertex"), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "shingles"])
-
-    return run
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 22, shingle: int = 5, minima: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each id with the digest of its text and the component, the least id of its group of copies and near copies.
-
-    Two texts are linked when the Jaccard similarity of their shingle sets is
-    at least ``similarity``. Fingerprints that far apart need a wide radius,
-    for which blocks of bits would make useless buckets; so buckets are pairs
-    of ``minima`` minima of the shingle hashes, of which 8 miss one pair of
-    texts in 10,000 at similarity 0.8, where fingerprints differ in 10 bits on
-    average and in more than ``radius`` hardly ever. The bit-sliced comparison finds, for
-    each text, the first and the closest within ``radius`` of each bucket, and
-    the similarity of these pairs is then computed exactly. All other pairs
-    within ``radius`` of a bucket whose groups are still apart follow, in steps
-    of growing distance, so that no pair is left out but those already joined.
-    Copies of a text are one vertex. Null texts count as empty; rows without id are left out.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    digests = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), body.alias("_text"), F.md5(body).alias("digest"))
-    made = digests.mapInArrow(_fingerprint(shingle, minima, ("digest",)), "_id bigint, fp bigint, n_shingles bigint, minima array<bigint>, digest string")
-    hashed = stage(made, "fingerprints")
-    texts = stage(hashed.groupBy("digest").agg(F.min("_id").alias("vertex"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n"), F.first("minima").alias("minima")), "texts")
-    pairs = [F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i, j in combinations(range(minima), 2)]
-    keyed = texts.filter("n > 0").withColumn("keys", F.array(*pairs))
-    own = digests.select("_id", "_text", F.col("digest").alias("d"))
-
-    def similar(links: DataFrame) -> DataFrame:
-        linked = links.select(F.col("a").alias("_vertex")).union(links.select("b")).distinct()
-        found = texts.join(linked, texts["vertex"] == linked["_vertex"], "left_semi").select("vertex", "digest")
-        # an id on several rows must bring the text that its vertex stands for
-        wanted = own.join(found.hint("shuffle_hash"), (own["_id"] == found["vertex"]) & (own["d"] == found["digest"])).select(F.col("vertex").alias("_vertex"), "_text")
-        sets = wanted.mapInArrow(_shingle_sets(shingle), "vertex bigint, shingles array<bigint>")
-        left, right = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-    links = stage(_bucketed(keyed.select("fp", "vertex", F.explode("keys").alias("key")), radius, True).distinct(), "links")
-    stars = components(similar(links.filter("a != b")))
-    # whatever these two left apart: all other pairs between groups, the closer first
-    close = keyed.join(links.filter("a = b").select("a"), F.col("vertex") == F.col("a"), "left_semi")
-    for above, step in ((-1, min(NARROW, radius)), (NARROW, radius)):
-        placed = close.join(stars, F.col("vertex") == F.col("member"), "left").select("fp", "vertex", F.coalesce("component", "vertex").alias("component"), F.explode("keys").alias("key"))
-        lanes = placed.select("key", "fp", "vertex", "component").repartition("key").sortWithinPartitions("key")
-        apart = stage(lanes.mapInArrow(_compare_apart(above, step), "a bigint, b bigint").distinct(), "apart")
-        if not apart.isEmpty():
-            stars = components(similar(apart).union(stars.select("member", "component")))
-    copies = hashed.join(texts.select("digest", "vertex"), "digest").join(stars, F.col("vertex") == F.col("member"), "left")
-    return copies.select(F.col("_id").alias(id_col), "digest", F.coalesce("component", "vertex").alias("component"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of each group of ``near_copies``, that of the least id; rows without id stay."""
-    gone = near_copies(docs, id_col=id_col, text=text, **settings).filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
-    same = (docs[id_col] == gone["_id"]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == gone["_digest"])
-    return docs.join(gone, same, "left_anti")

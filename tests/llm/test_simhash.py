@@ -4,7 +4,7 @@ import xxhash
 
 from cellgauge.llm.catalog import queries
 from cellgauge.llm.components import components
-from cellgauge.llm.simhash import close_pairs, near_copies, one_of_each, simhash_components
+from cellgauge.llm.simhash import close_pairs, simhash_components
 from tests.conftest import SF
 from tests.llm.conftest import DOCS, EDGES, prose, rows
 
@@ -70,41 +70,3 @@ def test_edges(edges, nothing):
     assert {g[2] for g in got if g[0] in (4, 5)} == {4} and {g[2] for g in got if g[0] in (8, 9)} == {8}
     assert [g[2] for g in got if g[0] is None and g[1] != "0" * 16] == [None]
     assert simhash_components(nothing).count() == 0
-
-
-def test_near_copies_equal_brute_force(spark, corpus):
-    docs, texts = corpus
-    sets = {d: frozenset(shingles(t, 5)) for d, t in texts.items()}
-    expected = groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    assert {r.doc_id: r.component for r in near_copies(docs).collect()} == expected
-    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == sorted(set(expected.values()))
-
-
-def test_one_of_each_edges(spark, edges, nothing):
-    kept = one_of_each(edges).collect()
-    assert sorted((r.doc_id for r in kept if r.doc_id), key=int) == [1, 3, 4, 6, 7, 8, 10, 11]
-    assert sum(r.doc_id is None for r in kept) == 2 and kept[0].asDict().keys() == edges.limit(1).collect()[0].asDict().keys()
-    assert one_of_each(nothing).count() == 0
-
-
-def test_large_group_of_near_copies(spark):
-    words = prose(1, 300).split()
-    texts = [(i, " ".join(words[:i] + [f"new{i}"] + words[i + 1:])) for i in range(250)] + [(999, prose(2, 300))]
-    assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows(texts), DOCS)).collect()) == [0, 999]
-
-
-def test_near_copy_behind_many_lesser_ones(spark):
-    """One partner just above the similarity among many just below, which come first and are as close by fingerprint."""
-    docs = []
-    for g in range(3):
-        words = prose(50 + g, 300).split()
-        for m in range(61):  # 8 of 300 words changed: 0.76; the last 6: 0.82
-            own = list(words)
-            for k in range(8 if m < 60 else 6):
-                own[(m + 37 * k) % 280 + 10] = f"g{g}m{m}k{k}"
-            docs.append((100 * g + m, " ".join(own)))
-        docs.append((100 * g + 99, " ".join(words)))
-    sets = {d: frozenset(shingles(t, 5)) for d, t in docs}
-    expected = groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    assert all(expected[100 * g + 99] == 100 * g + 60 for g in range(3))
-    assert {r.doc_id: r.component for r in near_copies(spark.createDataFrame(rows(docs), DOCS)).collect()} == expected
