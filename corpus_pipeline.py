@@ -14,7 +14,7 @@ from cellgauge.llm.contamination import clean_documents
 from cellgauge.llm.mixing import mix_sources
 from cellgauge.llm.passages import without_passages
 from cellgauge.llm.quality import good_documents
-from cellgauge.llm.simhash import one_of_each
+from cellgauge.llm.nearcopies import one_of_each
 from cellgauge.session import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
