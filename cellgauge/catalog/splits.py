@@ -8,6 +8,7 @@ from cellgauge.catalog import fixtures as fx
 from cellgauge.catalog.fixtures import with_ctes
 from cellgauge.catalog.registry import query
 from cellgauge.operators import splits as K
+from cellgauge.session import stage
 
 SEED = 42
 KEY = ["cell_id"]
@@ -41,6 +42,21 @@ def group_kfold(spark, sf):
     return K.stratified_group_kfold(base(spark, sf), "cell_type", "sample_id", KEY, 5, SEED)
 
 
+@query("k02_balanced_group_kfold", sql("SELECT cell_id, true AS whole, true AS as_even_as_dealt, true AS even FROM cells"))
+def balanced_group_kfold(spark, sf):
+    """Groups are whole; the largest deviation of a class from an equal share is at most that of dealt groups, and below the largest group's share of the class."""
+    rows = base(spark, sf)
+    ours, dealt = stage(K.balanced_group_kfold(rows, "cell_type", "sample_id", KEY, 5, SEED), "ours"), stage(K.stratified_group_kfold(rows, "cell_type", "sample_id", KEY, 5, SEED), "dealt")
+
+    def worst(df):
+        n = df.groupBy("cell_type", "fold").count().groupBy("cell_type").agg((F.max("count") / F.sum("count")).alias("top"))
+        return n.agg(F.max("top").alias("w")).select("w").scalar()
+
+    group = ours.groupBy("sample_id", "cell_type").count().groupBy("cell_type").agg((F.max("count") / F.sum("count")).alias("g")).agg(F.max("g").alias("g")).select("g").scalar()
+    whole = ours.groupBy("sample_id").agg((F.countDistinct("fold") == 1).alias("whole"))
+    return ours.join(whole, "sample_id").select("cell_id", "whole", (worst(ours) <= worst(dealt)).alias("as_even_as_dealt"), (worst(ours) <= F.lit(0.2) + group).alias("even"))
+
+
 @query("k02_group_kfold_fallback", sql(f"""WITH {CODED} SELECT cell_id,
   CAST((row_number() OVER (PARTITION BY cell_type ORDER BY {H}, cell_id) - 1 + code) % 5 AS INT) AS fold FROM cells JOIN d USING (cell_type)"""))
 def group_fallback(spark, sf):

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellgauge.functions.exprs import order_hash
 from cellgauge.operators.cleaning import expand_range, label_dictionary
 from cellgauge.operators.ranks import hash_rank
 from cellgauge.session import stage
@@ -73,6 +75,55 @@ def assign_groups(counts: DataFrame, label: str, group: str, k: int, seed: int,
     return ranked.select(group, F.pmod(turn, F.lit(k)).cast("int").alias(out))
 
 
+#: groups that are placed one after another
+LEADERS = 4096
+
+
+def balanced_group_kfold(
+    df: DataFrame, label: str, group: str, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold", leaders: int = LEADERS
+) -> DataFrame:
+    """Folds that keep each group whole and make the classes' shares as equal as whole groups allow.
+
+    The ``leaders`` groups whose class counts spread most are placed one after
+    another, the widest first, each where it keeps the classes' shares of the
+    folds closest to each other. All other groups, each of which weighs less
+    than any of these, are dealt out before by :func:`assign_groups`, and the
+    leaders start from the totals that gives. Only counts of the leaders and the
+    totals (folds times classes) reach the driver. Fewer groups than folds fall
+    back to :func:`stratified_kfold`. Rows without a group form one group, rows
+    without a label one class.
+    """
+    counts = stage(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")), "group_classes")
+    if counts.select(group).distinct().limit(k).count() < k:
+        return stratified_kfold(df, label, key, k, seed, out)
+    classes = [(r[label], r["n"]) for r in counts.groupBy(label).agg(F.sum("n").alias("n")).orderBy(label).collect()]
+    # the deviation of the counts over all classes, zeros included
+    mean = F.sum("n") / len(classes)
+    spread = F.sqrt(F.greatest(F.sum(F.col("n") * F.col("n")) / len(classes) - mean * mean, F.lit(0.0)))
+    wide = counts.groupBy(group).agg(F.round(spread, 9).alias("_spread"), F.collect_list(F.struct(label, "n")).alias("_n"))
+    first = stage(wide.orderBy(F.desc("_spread"), order_hash(seed, group), group).limit(leaders), "leaders")
+    rest = stage(counts.join(first.select(group), counts[group].eqNullSafe(first[group]), "left_anti"), "group_rest")
+    dealt = stage(assign_groups(rest, label, group, k, seed, out), "group_folds")
+    number = {c: i for i, (c, _) in enumerate(classes)}
+    totals = np.zeros((k, len(classes)))
+    for r in rest.join(dealt, rest[group].eqNullSafe(dealt[group])).groupBy(out, label).agg(F.sum("n").alias("n")).collect():
+        totals[r[out], number[r[label]]] = r["n"]
+    size, placed = np.array([n for _, n in classes], float), []
+    for r in first.orderBy(F.desc("_spread"), order_hash(seed, group), group).collect():
+        own = np.zeros(len(classes))
+        for e in r["_n"]:
+            own[number[e[label]]] = e["n"]
+        after = np.repeat(totals[None], k, axis=0) + np.eye(k)[:, :, None] * own
+        uneven = (after / size).std(axis=1).mean(axis=1)
+        fold = min(range(k), key=lambda f: (round(float(uneven[f]), 12), totals[f].sum(), f))
+        totals[fold] += own
+        placed.append((r[group], fold))
+    kind = df.schema[group].dataType.simpleString()
+    found = df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, `{out}` int").unionByName(dealt)
+    assigned = stage(found, "group_folds")
+    return df.join(assigned, df[group].eqNullSafe(assigned[group])).select(*[df[c] for c in df.columns], out)
+
+
 def group_shuffle_split(
     df: DataFrame, group: str, repeats: int, test_share: float = 0.5, seed: int = 42
 ) -> DataFrame:

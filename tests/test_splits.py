@@ -1,5 +1,6 @@
 """Guarantees of folds and samples."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,48 @@ def test_group_balance(spark):
     assert max(r["count"] for r in sizes) - min(r["count"] for r in sizes) <= 40
 
 
+def one_after_another(counts, k):
+    """The sequential greedy rule: widest groups first, each where the shares of the classes stay closest."""
+    size, folds = counts.sum(axis=0), np.zeros((k, counts.shape[1]))
+    for own in sorted(counts.tolist(), key=lambda c: -np.std(c)):
+        def uneven(f):
+            after = folds.copy()
+            after[f] += own
+            return np.std(after / size, axis=0).mean()
+        folds[min(range(k), key=uneven)] += own
+    return folds
+
+
+@pytest.mark.parametrize("leaders", [4096, 16])
+def test_balanced_groups(spark, leaders):
+    rng = np.random.default_rng(8)
+    mix = rng.dirichlet([8, 3, 0.6, 0.4], 60)
+    counts = np.array([rng.multinomial(int(n), p) for n, p in zip(rng.lognormal(4.5, 0.9, 60), mix)])
+    rows = [(i, f"c{c}", f"g{g}") for i, (g, c) in enumerate((g, c) for g in range(60) for c in range(4) for _ in range(counts[g, c]))]
+    df = spark.createDataFrame(rows, "id bigint, cls string, grp string")
+    folds = K.balanced_group_kfold(df, "cls", "grp", ["id"], 5, leaders=leaders).cache()
+    assert folds.count() == len(rows) and folds.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+
+    def apart(df):
+        t = np.zeros((5, 4))
+        for r in df.groupBy("fold", "cls").count().collect():
+            t[r.fold, int(r.cls[1])] = r["count"]
+        return (np.abs(t - t.mean(axis=0)).max(axis=0) / t.sum(axis=0)).max()
+
+    if leaders >= 60:
+        want = one_after_another(counts, 5)
+        assert apart(folds) <= 1.2 * (np.abs(want - want.mean(axis=0)).max(axis=0) / want.sum(axis=0)).max()
+    else:  # most groups are dealt out; placing the widest evens that out
+        assert apart(folds) < 0.7 * apart(K.stratified_group_kfold(df, "cls", "grp", ["id"], 5))
+
+
+def test_balanced_groups_edges(spark, rows):
+    odd = rows.withColumn("grp", F.when(F.col("id") % 7 > 0, F.col("grp"))).withColumn("cls", F.when(F.col("id") % 11 > 0, F.col("cls")))
+    folds = K.balanced_group_kfold(odd, "cls", "grp", ["id"], 3)
+    assert folds.count() == 3000 and folds.where("grp is null").select("fold").distinct().count() == 1
+    assert K.balanced_group_kfold(rows.withColumn("grp", F.lit("a")), "cls", "grp", ["id"], 5).select("fold").distinct().count() == 5
+
+
 def test_too_few_groups(spark, rows):
     folds = K.stratified_group_kfold(rows.withColumn("grp", F.col("cls")), "cls", "grp", ["id"], 5)
     assert folds.select("fold").distinct().count() == 5
