@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgauge.llm.stretches import by_agreement
 from cellgauge.llm.text import OPAQUE, Texts, id_array, ids, inside, mix, span_hash
 from cellgauge.session import stage
 
@@ -75,7 +76,7 @@ def _hits(masks: Sequence[str], known: np.ndarray, bits: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = ids(batch.column("_id"))
+            doc, tag = ids(batch.column("_id")), batch.column("_tag")
             for k, part in Texts.of(batch.column("_text")).chunks():
                 words, first = _words(part)
                 found_h, found_at = [], []
@@ -96,12 +97,11 @@ def _hits(masks: Sequence[str], known: np.ndarray, bits: int, reach: int):
                 # hits that lie within reach of each other share one stretch of words
                 new = np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] - at[:-1] > 2 * reach)))
                 cut = np.append(np.flatnonzero(new), len(at))
-                tag = span_hash(part.prefix(), part.at[:-1], part.at[1:]).view(np.int64)
                 top, low = cut[:-1], cut[1:] - 1
                 begin = np.maximum(at[top] - reach, first[of[top]])
                 end = np.minimum(at[low] + reach, first[of[top] + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [id_array(doc[k + of[top]]), pa.array(tag[of[top]]), pa.array(begin - first[of[top]]),
+                    [id_array(doc[k + of[top]]), tag.take(pa.array(k + of[top])), pa.array(begin - first[of[top]]),
                      pa.array([words[a:b].view(np.int64) for a, b in zip(begin, end)], pa.list_(pa.int64())),
                      pa.array([h[a:b].view(np.int64) for a, b in zip(cut, cut[1:])], pa.list_(pa.int64())),
                      pa.array([at[a:b] - begin[i] for i, (a, b) in enumerate(zip(cut, cut[1:]))], pa.list_(pa.int64()))],
@@ -112,29 +112,15 @@ def _hits(masks: Sequence[str], known: np.ndarray, bits: int, reach: int):
 
 
 def overlaps(doc: np.ndarray, item: np.ndarray, diagonal: int, max_substituted: float, least: float) -> Iterator[tuple[int, int, int]]:
-    """Disjoint stretches where item word i meets document word i + diagonal, best first: first and last item word, words that agree.
+    """Disjoint stretches where item word i meets document word i + diagonal: first and last item word, words that agree.
 
-    ``least`` words or more agree in each.
+    ``least`` words or more agree in each, and at most the share ``max_substituted`` don't.
     """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    if high <= low:
-        return
-    same = doc[low + diagonal: high + diagonal] == item[low:high]
-    todo = [(0, len(same))]
-    while todo:
-        a, b = todo.pop()
-        if not same[a:b].any() or same[a:b].sum() < least:
-            continue
-        gain = np.concatenate(([0.0], np.cumsum(np.where(same[a:b], max_substituted, max_substituted - 1.0))))
-        floor = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - floor))
-        begin = int(np.argmin(gain[: end + 1]))
-        if end == begin:
-            continue
-        n = int(same[a + begin: a + end].sum())
-        if n >= least:
-            yield low + a + begin, low + a + end - 1, n
-        todo += [(a, a + begin), (a + end, b)]
+    if high > low:
+        same = doc[low + diagonal: high + diagonal] == item[low:high]
+        for a, b in by_agreement(same, least, max_substituted):
+            yield low + a, low + b - 1, int(same[a:b].sum())
 
 
 def _verify(min_words: int, max_substituted: float):
@@ -146,24 +132,16 @@ def _verify(min_words: int, max_substituted: float):
                 diagonal = batch.column("diagonal")[k].as_py()
                 at = batch.column("begin")[k].as_py() + diagonal
                 for first, last, same in overlaps(doc, item, diagonal, max_substituted, min(min_words, (1 - max_substituted) * len(item))):
-                    rows.append((batch.column("_id")[k].as_py(), batch.column("item")[k].as_py(), at + first, at + last, first, last, same))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "item", "first_word", "last_word", "item_first", "item_last", "n_same"])
+                    rows.append((batch.column("_id")[k].as_py(), batch.column("tag")[k].as_py(), batch.column("item")[k].as_py(), at + first, at + last, first, last, same))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "tag", "item", "first_word", "last_word", "item_first", "item_last", "n_same"])
 
     return run
 
 
-def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, min_words: int = 10, max_substituted: float = 0.2, shortest: int = 4, filter_bits: int = FILTER_BITS,
+def _found(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, min_words: int = 10, max_substituted: float = 0.2, shortest: int = 4, filter_bits: int = FILTER_BITS,
                    id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Overlaps: document, item, first_word and last_word in the document, item_first and item_last in the item, n_same.
-
-    Words are runs of digits, letters and non-ASCII characters, with A-Z and
-    the accented capitals of Latin-1 in lower case. A stretch is reported where at least ``min_words`` words agree
-    (or all of a shorter item but the share ``max_substituted``), with at most
-    that share of substitutions, each of several on one diagonal. Items of fewer than ``shortest`` words are
-    ignored, those shorter than a mask need one place without substitution.
-    Null texts have no words; repeated rows report once; null ids stay null.
-    """
+    """The overlaps of ``contaminations`` with the hash of each text."""
     items = items.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text"))
     seeds = stage(items.mapInArrow(_item_seeds(masks, shortest), "h bigint, item bigint, at bigint"), "item-seeds")
     item_words = stage(items.mapInArrow(_item_words, "item bigint, item_words array<bigint>").distinct(), "item-words")
@@ -175,7 +153,7 @@ def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MAS
     longest = item_words.agg(F.max(F.size("item_words"))).first()[0] or 0
     short = item_words.select(F.size("item_words").alias("n")).filter(F.col("n").between(shortest, len(masks[0]) - 1)).distinct()
     every = (*masks, *("1" * row.n for row in short.collect()))  # a few lengths
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tag"))
     schema = "_id bigint, tag bigint, begin bigint, words array<bigint>, hits array<bigint>, places array<bigint>"
     near = stage(rows.mapInArrow(_hits(every, known, filter_bits, longest + len(masks[0])), schema), "hits")
     key = ["_id", "tag", "begin"]
@@ -183,13 +161,27 @@ def contaminations(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MAS
     met = met.join(seeds, "h").select(*key, "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     stretch = near.select(F.col("_id").alias("i"), F.col("tag").alias("t"), F.col("begin").alias("b"), "words")
     same = met["_id"].eqNullSafe(stretch["i"]) & (met["tag"] == stretch["t"]) & (met["begin"] == stretch["b"])
-    pairs = met.join(stretch, same).drop("i", "t", "b", "tag")
+    pairs = met.join(stretch, same).drop("i", "t", "b")
     pairs = pairs.join(item_words, pairs["item"].eqNullSafe(item_words["item"])).drop(item_words["item"])
-    found = pairs.mapInArrow(_verify(min_words, max_substituted), "_id bigint, item bigint, first_word bigint, last_word bigint, item_first bigint, item_last bigint, n_same bigint")
-    return found.distinct().select(F.col("_id").alias(id_col), F.col("item").alias(item_id), "first_word", "last_word", "item_first", "item_last", "n_same")
+    found = pairs.mapInArrow(_verify(min_words, max_substituted), "_id bigint, tag bigint, item bigint, first_word bigint, last_word bigint, item_first bigint, item_last bigint, n_same bigint")
+    return found.distinct()
+
+
+def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_id: str = "item_id", **settings) -> DataFrame:
+    """Overlaps: document, item, first_word and last_word in the document, item_first and item_last in the item, n_same.
+
+    Words are runs of digits, letters and non-ASCII characters, with A-Z and
+    the accented capitals of Latin-1 in lower case. A stretch is reported where at least ``min_words`` words agree
+    (or all of a shorter item but the share ``max_substituted``), with at most
+    that share of substitutions, each of several on one diagonal. Items of fewer than ``shortest`` words are
+    ignored, those shorter than a mask need one place without substitution.
+    Null texts have no words; repeated rows report once; null ids stay null.
+    """
+    found = _found(docs, items, id_col=id_col, item_id=item_id, **settings).drop("tag").distinct()
+    return found.withColumnsRenamed({"_id": id_col, "item": item_id})
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` without any overlap. Rows with a null id are judged together."""
-    dirty = contaminations(docs, items, id_col=id_col, **settings).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_id"]), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` without any overlap, each judged by its own text whatever other rows have its id or none."""
+    dirty = _found(docs, items, id_col=id_col, text=text, **settings).select("_id", "tag").distinct()
+    return docs.join(dirty, docs[id_col].cast("long").eqNullSafe(dirty["_id"]) & (F.xxhash64(docs[text]) == dirty["tag"]), "left_anti")
