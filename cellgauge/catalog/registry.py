@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
 
-MODULES = ("sources", "cleaning", "transforms", "joins", "aggregates", "metrics", "leaderboard", "splits", "labelling", "graphs", "fitted", "functions")
+MODULES = ("sources", "cleaning", "transforms", "joins", "aggregates", "metrics", "leaderboard", "splits", "labelling", "graphs", "fitted", "thresholds", "functions")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
