@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cellgauge.catalog.labelling import VEC_FACTS, checked, marker_rows, vec_rows
+from cellgauge.catalog import fixtures as fx
+from cellgauge.catalog.labelling import MATRIX, VEC_FACTS, checked, marker_rows, sql, vec_rows
 from cellgauge.catalog.registry import query
 from cellgauge.operators import models as ML
 from cellgauge.operators.boosting import SoftmaxTrees
 from cellgauge.operators.maps import fit_map, map_clusters
+from cellgauge.operators.mixture import fit_marker_mixture
 from cellgauge.session import stage
 
 ROUNDS = 6
@@ -46,3 +48,27 @@ def self_organising_map(spark, sf):
     first = fit_map(rows, 6, 6, passes=0).errors(rows).select("quantisation").scalar()
     last = model.errors(rows).select("quantisation").scalar()
     return found.select("vec_id", "node", nearest.alias("nearest")).join(homes, "node").select("vec_id", "nearest", "nested", (last < first).alias("improves"))
+
+
+@query("c13_mixture_rounds", f"SELECT CAST(i AS INT) AS round, i > 0 AS kept_rising FROM range(0, {ROUNDS + 1}) r(i)")
+def mixture_rounds(spark, sf):
+    # the objective before the first round has none to compare with
+    objective = fit_marker_mixture(fx.cells(spark, sf), MATRIX, rounds=ROUNDS, tol=-1.0).objective
+    found = [(i, bool(i and objective[i] >= objective[i - 1] - 1e-9 * abs(objective[i]))) for i in range(len(objective))]
+    return spark.createDataFrame(found, "round int, kept_rising boolean")
+
+
+@query("c13_marker_mixture", sql("SELECT cell_id, true AS sums_to_one, true AS label_follows FROM cells"))
+def marker_mixture(spark, sf):
+    """Responsibilities sum to 1; a label is the type of the greatest one, or none where that is below a half or below that of merged rows."""
+    cells = fx.cells(spark, sf)
+    model = fit_marker_mixture(cells, MATRIX, rounds=ROUNDS)
+    out = model.predict(cells)
+    r, types = F.col("responsibilities"), len(model.types)
+    own = [r[i] for i in range(types)]
+    top, rest = F.greatest(*own), F.lit(1.0) - sum(own[1:], own[0])
+    want = F.lit("undefined")
+    for i in reversed(range(types)):
+        want = F.when((own[i] == top) & (top >= 0.5) & (top >= rest), model.types[i]).otherwise(want)
+    total = F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
+    return out.select("cell_id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.col("predicted_phenotype") == want).alias("label_follows"))
