@@ -10,6 +10,7 @@ from cellgauge.catalog.labelling import MATRIX, VEC_FACTS, checked, marker_rows,
 from cellgauge.catalog.registry import query
 from cellgauge.operators import models as ML
 from cellgauge.operators.boosting import SoftmaxTrees
+from cellgauge.operators.integration import batch_gap, integrate
 from cellgauge.operators.maps import fit_map, map_clusters
 from cellgauge.operators.mixture import fit_marker_mixture
 from cellgauge.session import stage
@@ -72,3 +73,13 @@ def marker_mixture(spark, sf):
         want = F.when((own[i] == top) & (top >= 0.5) & (top >= rest), model.types[i]).otherwise(want)
     total = F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
     return out.select("cell_id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.col("predicted_phenotype") == want).alias("label_follows"))
+
+
+@query("n10_integration", "SELECT vec_id, CAST(vec_id % 3 AS INT) AS batch, true AS kept_length, true AS batches_closer FROM embeddings")
+def integration(spark, sf):
+    """Vectors of every third row are shifted by a fixed amount; integration must take the greater part of it out again."""
+    vec = fx.vectors(spark, sf).select("vec_id", F.pmod("vec_id", F.lit(3)).cast("int").alias("batch"), "embedding")
+    shifted = vec.withColumn("v", F.transform("embedding", lambda e, i: e.cast("double") + F.when(F.col("batch") == 2, F.sin(i + 1) / 8).otherwise(0.0)))
+    out = stage(integrate(shifted, "v", "batch", clusters=8, rounds=4), "integrated")
+    before, after = (batch_gap(out, c, "batch").select("gap").scalar() for c in ("v", "integrated"))
+    return out.select("vec_id", "batch", (F.size("integrated") == F.size("v")).alias("kept_length"), (after < 0.5 * before).alias("batches_closer"))
