@@ -13,6 +13,7 @@ from cellgauge.operators.boosting import SoftmaxTrees
 from cellgauge.operators.integration import batch_gap, integrate
 from cellgauge.operators.maps import fit_map, map_clusters
 from cellgauge.operators.mixture import fit_marker_mixture
+from cellgauge.operators.search import halving_search
 from cellgauge.session import stage
 
 ROUNDS = 6
@@ -83,3 +84,23 @@ def integration(spark, sf):
     out = stage(integrate(shifted, "v", "batch", clusters=8, rounds=4), "integrated")
     before, after = (batch_gap(out, c, "batch").select("gap").scalar() for c in ("v", "integrated"))
     return out.select("vec_id", "batch", (F.size("integrated") == F.size("v")).alias("kept_length"), (after < 0.5 * before).alias("batches_closer"))
+
+
+TRIALS, KEEP, SHARE = 6, 0.5, 0.25
+
+
+@query("c08_halving_search", f"""WITH g(rung, n, s) AS (VALUES (0, {TRIALS}, 0.25), (1, 3, 0.5), (2, 2, 1.0)), p AS (SELECT rung, n, s, unnest(range(1, n + 1)) AS place FROM g)
+  SELECT CAST(rung AS INT) AS rung, CAST(place AS INT) AS place, CAST(s AS DOUBLE) AS share, place <= CASE rung WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS survives,
+         true AS in_range, true AS in_order, rung > 0 AS had_survived FROM p""")
+def halving(spark, sf):
+    """Each fit by its place: who survives follows from the places, who is on a rung from the rung before, and scores fall with the places."""
+    rows = vec_rows(spark, sf)
+    lowest, highest = 1e-4, 1e2
+    _, table = halving_search(
+        rows.where("fold > 1"), rows.where("fold = 1"), "label", ["vec_id"], lambda t, p: ML.logistic_regression(maxIter=15, **p).fit(t),
+        {"regParam": (lowest, highest)}, TRIALS, KEEP, SHARE)
+    table = stage(table, "trials")
+    before = table.where("survives").select((F.col("rung") + 1).alias("rung"), "trial", F.lit(True).alias("_kept"))
+    above = table.select("rung", (F.col("place") + 1).alias("place"), F.col("score").alias("_above"))
+    joined = table.join(before, ["rung", "trial"], "left").join(above, ["rung", "place"], "left")
+    return joined.select("rung", "place", "share", "survives", F.col("regParam").between(lowest, highest).alias("in_range"), (F.col("score") <= F.coalesce("_above", F.lit(1.0))).alias("in_order"), F.coalesce("_kept", F.lit(False)).alias("had_survived"))
