@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline: dedup, filters, counts, archives and mixing.
 
-Task functions travel to the executors by value, so they need no copy of this
-package there.
+Task functions travel to the executors by value; the helpers they call don't, so
+executors need the package as well.
 """
 
 import sys

@@ -165,20 +165,8 @@ def _buckets(radius: int, least: float):
     return run
 
 
-def near_copies(
-    docs: DataFrame, similarity: float = 0.8, margin: float = 0.015, radius: int = 22, shingle: int = 5, minima: int = 6, id_col: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Each row with the digest of its text and the component, the least vertex of its group of copies and near copies: ``id, digest, vertex, component``.
-
-    Texts are linked when two of their ``minima`` minima agree (at a similarity
-    of 0.8 all but 2 in 1,000 do), their fingerprints differ in ``radius`` bits
-    at most (10 on average there), and their sketches agree in a share of at
-    least ``similarity - margin``. Groups are the components of these links.
-
-    Copies of a text are one vertex, named by its least id, or by its digest
-    where no copy has an id. Null texts count as empty; texts without words are
-    copies of each other only if equal. Ids are below 2^62.
-    """
+def _groups(docs: DataFrame, similarity: float, margin: float, radius: int, shingle: int, minima: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (_id, digest), and all texts (digest, vertex, component)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), body.alias("_text"), F.md5(body).alias("digest"))
     made = rows.mapInArrow(_describe(shingle, minima), "_id bigint, fp bigint, n bigint, minima array<bigint>, sketch binary, digest string")
@@ -186,9 +174,8 @@ def near_copies(
     nameless = F.xxhash64("digest").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
     firsts = hashed.groupBy("digest").agg(F.min("_id").alias("_least"), *(F.first(c).alias(c) for c in ("fp", "n", "minima", "sketch")))
     # an id on rows of several texts can name one of them only
-    texts = firsts.withColumn("_taken", F.col("_least").isNull())
     owner = firsts.filter("_least is not null").groupBy(F.col("_least").alias("_own")).agg(F.min("digest").alias("_by"))
-    texts = texts.join(owner, F.col("_least") == F.col("_own"), "left").withColumn("vertex", F.when(F.col("_by") == F.col("digest"), F.col("_least")).otherwise(nameless))
+    texts = firsts.join(owner, F.col("_least") == F.col("_own"), "left").withColumn("vertex", F.when(F.col("_by") == F.col("digest"), F.col("_least")).otherwise(nameless))
     texts = stage(texts.select("digest", "vertex", "fp", "n", "minima", "sketch"), "texts")
     keys = F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i, j in combinations(range(minima), 2)))
     lanes = texts.filter("n > 0").select("fp", "vertex", "sketch", F.explode(keys).alias("key"))
@@ -197,18 +184,39 @@ def near_copies(
     met = lanes.join(shared, "key").repartition("key").sortWithinPartitions("key").select("key", "fp", "vertex", "sketch")
     stars = components(met.mapInArrow(_buckets(radius, similarity - margin), "a bigint, b bigint"))
     named = texts.select("digest", "vertex").join(stars, F.col("vertex") == F.col("member"), "left").select("digest", "vertex", F.coalesce("component", "vertex").alias("component"))
-    return hashed.select("_id", "digest").join(named, "digest").select(F.col("_id").alias(id_col), "digest", "vertex", "component")
+    return hashed.select("_id", "digest"), named
+
+
+def near_copies(
+    docs: DataFrame, similarity: float = 0.8, margin: float = 0.015, radius: int = 22, shingle: int = 5, minima: int = 6, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Each row with the digest of its text and the component, the least vertex of its group of copies and near copies: ``id, digest, vertex, component``.
+
+    Texts are linked when two of their ``minima`` minima agree (at a similarity
+    of 0.8 all but 2 in 1,000 do), their fingerprints differ in ``radius`` bits
+    at most (10 on average there), and their sketches agree in a share of at
+    least ``similarity - margin``. Groups are the components of these links.
+
+    Copies of a text are one vertex, named by its least id, or by its digest
+    where no copy has an id. Null texts count as empty; texts without words are
+    copies of each other only if equal. Ids are below 2^62.
+    """
+    rows, texts = _groups(docs, similarity, margin, radius, shingle, minima, id_col, text)
+    return rows.join(texts, "digest").select(F.col("_id").alias(id_col), "digest", "vertex", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, similarity: float = 0.8, margin: float = 0.015, radius: int = 22, shingle: int = 5, minima: int = 6, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``docs`` with one row of each group of ``near_copies``: a copy of its first text, that of the least id.
 
     Of rows that agree in id and text (rows without id too) one stays, with the
     least of its other columns.
     """
-    groups = near_copies(docs, id_col=id_col, text=text, **settings).filter("vertex = component")
-    lead = groups.groupBy("digest", F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"))
-    lead = lead.groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rows")).alias("_l")).select(F.col("digest").alias("_digest"), "_l._id", "_l._rows")
+    rows, texts = _groups(docs, similarity, margin, radius, shingle, minima, id_col, text)
+    # copies are counted before they meet anything: a third of all rows may have one digest
+    lead = rows.groupBy("digest", "_id").agg(F.count("*").alias("_rows")).groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rows")).alias("_l"))
+    lead = lead.join(texts.filter("vertex = component"), "digest", "left_semi").select(F.col("digest").alias("_digest"), "_l._id", "_l._rows")
     lead = stage(lead, "kept")
     same = (F.md5(F.coalesce(docs[text], F.lit(""))) == lead["_digest"]) & docs[id_col].cast("long").eqNullSafe(lead["_id"])
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
