@@ -234,16 +234,19 @@ def vectors_from_tiles(
     cover = cover.withColumn("_nt", F.count(F.lit(1)).over(W.partitionBy(sample, x, y)))
     weights = spots.join(cover, [sample, x, y]).groupBy(sample, mask, "tile").agg(F.sum(F.col("_px") / F.col("_nt")).alias("_w"))
     area = spots.groupBy(sample, mask).agg(F.sum("_px").alias("n_pixels"))
+    weights = stage(weights.join(area, [sample, mask], "right").select(sample, mask, "n_pixels", "tile", "_w"), "weights")
+    width = tiles.select(F.max(F.size(vec))).scalar()
+    # vectors are filled up to the longest; ids without a tile have zeros only and need no aggregate
+    filled = tiles.select(sample, "tile", F.concat(F.col(vec), F.array_repeat(F.lit(0.0), width - F.size(vec))).alias("_vec"))
     summed = (
-        weights.join(tiles.select(sample, "tile", vec), [sample, "tile"])
-        .select(sample, mask, "_w", F.posexplode(vec).alias("pos", "_v"))
-        .groupBy(sample, mask, "pos")
+        weights.join(filled, [sample, "tile"])
+        .select(sample, mask, "n_pixels", "_w", F.posexplode("_vec").alias("pos", "_v"))
+        .groupBy(sample, mask, "n_pixels", "pos")
         .agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"))
+        .select(sample, mask, "n_pixels", "pos", (F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("n_pixels")).alias("value"))
     )
-    width = tiles.select(F.max(F.size(vec))).scalar()
-    every = area.withColumn("pos", F.explode(F.sequence(F.lit(0), width - 1)))
-    value = F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("n_pixels")
-    return every.join(summed, [sample, mask, "pos"], "left").select(sample, mask, "n_pixels", "pos", value.alias("value"))
+    none = weights.where("tile is null").withColumn("pos", F.explode(F.sequence(F.lit(0), width - 1)))
+    return summed.unionByName(none.select(sample, mask, "n_pixels", "pos", F.lit(0.0).alias("value")))
 
 
 def as_vectors(long: DataFrame, by: Sequence[str], out: str = "vec") -> DataFrame:
