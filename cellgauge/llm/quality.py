@@ -3,8 +3,8 @@
 Two multinomials over hashed word n-grams are counted: one over trusted
 documents, one over the whole corpus. A document's score is the mean log ratio
 of the two over its n-grams; documents below a threshold go. The threshold
-follows from the trusted documents themselves and is the same for every
-document.
+is a low quantile of the scores the trusted documents have when their own
+counts are left out, and is the same for every document.
 
 Tasks add their n-grams into one array of ``buckets`` counts and return only
 that, so what is shuffled and what reaches the driver is bounded by the number
@@ -24,6 +24,7 @@ from cellgauge.llm.text import SPACE, Texts, gram_hash, id_array, ids, inside, s
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
+QUANTILE = 0.001
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -54,8 +55,8 @@ def _count(buckets: int, trusted: np.ndarray):
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text: str = "text") -> tuple[np.ndarray, int]:
-    """log(trusted share / corpus share) per bucket, add-one smoothed, and the number of ids trusted; all zero without trusted documents.
+def _tables(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_rows: int, id_col: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Add-one counts of the corpus and of the trusted documents per bucket, and the trusted ids.
 
     ``trusted`` lists ids. If there are more than ``trusted_rows``, those first
     by a hash of the id are taken; the corpus is always counted whole. Nulls
@@ -65,16 +66,53 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trus
     chosen = np.array(sorted(row[0] for row in marks.collect()), np.int64)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
     counted = rows.mapInArrow(_count(buckets, chosen), "bucket bigint, raw bigint, trusted bigint")
-    raw, good = np.ones(buckets), np.ones(buckets)
+    raw, good = np.ones(buckets, np.int64), np.ones(buckets, np.int64)
     for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():  # at most ``buckets`` rows
         raw[row.bucket] += row.raw
         good[row.bucket] += row.trusted
-    return np.log(good / good.sum()) - np.log(raw / raw.sum()) if good.sum() > buckets else np.zeros(buckets), len(chosen)
+    return raw, good, chosen
 
 
-def floor_for(n_trusted: int) -> float:
-    """Clean text scores about 0; the fewer trusted documents, the further it falls below by chance (measured on held-out labels)."""
-    return -0.08 - 2.5 / max(1, n_trusted) ** 0.5
+def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """log(trusted share / corpus share) per bucket; all zero without trusted documents."""
+    return np.log(good / good.sum()) - np.log(raw / raw.sum()) if good.sum() > len(good) else np.zeros(len(good))
+
+
+def left_out_scores(part: Texts, raw: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The score each trusted text would have if it were in neither count: that of a clean text nobody labelled."""
+    buckets = len(raw)
+    keys = np.concatenate([doc * buckets + at for at, doc in _grams(part, buckets)])
+    key, own = np.unique(keys, return_counts=True)
+    doc, at = key // buckets, key % buckets
+    grams = np.bincount(doc, own, len(part))
+    ratio = np.log((good[at] - own) / (good.sum() - grams)[doc]) - np.log((raw[at] - own) / (raw.sum() - grams)[doc])
+    return np.bincount(doc, own * ratio, len(part)) / np.maximum(grams, 1)
+
+
+def _left_out(raw: np.ndarray, good: np.ndarray, trusted: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = np.isin(ids(batch.column("_id")), trusted)
+            for _, part in Texts.of(batch.column("_text").filter(pa.array(told))).chunks():
+                values = _base(part)
+                yield pa.RecordBatch.from_arrays([pa.array(left_out_scores(part, raw, good)[~failed(values)])], ["score"])
+
+    return run
+
+
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_rows: int, quantile: float, id_col: str, text: str) -> tuple[np.ndarray, float]:
+    """Log ratios, and the least score to be kept.
+
+    That is the given low quantile of the trusted documents' own scores, each
+    with its own counts left out; those that fail the base rules have no say.
+    One rule at every size; 0 where no trusted document says anything.
+    """
+    raw, good, chosen = _tables(docs, trusted, buckets, trusted_rows, id_col, text)
+    if good.sum() == buckets:
+        return np.zeros(buckets), 0.0
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    floor = rows.mapInArrow(_left_out(raw, good, chosen), "score double").agg(F.percentile("score", F.lit(quantile))).first()[0]  # at most the rows of the trusted ids
+    return log_ratios(raw, good), 0.0 if floor is None else floor
 
 
 def _same_before(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +153,11 @@ def _base(part: Texts) -> dict[str, np.ndarray]:
     return out
 
 
+def failed(values: dict[str, np.ndarray]) -> np.ndarray:
+    """The base rules: fewer than 10 words, or more than a fifth of them in repeated windows."""
+    return (values["n_words"] < 10) | (100 * values["n_repeat_words"] > 20 * values["n_words"])
+
+
 def _score(ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,36 +174,36 @@ def _score(ratios: np.ndarray):
             kinds = {"score": np.float64}
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
             made = {k: np.concatenate(found[k]) if k in found else np.zeros(0) for k in names}
-            failed = (made["n_words"] < 10) | (100 * made["n_repeat_words"] > 20 * made["n_words"])
-            columns = [id_array(ids(batch.column("_id"))), *(pa.array(made[k].astype(kinds.get(k, np.int64))) for k in names[:-1]), pa.array(failed.astype(bool)), pa.array(made["score"])]
+            columns = [id_array(ids(batch.column("_id"))), *(pa.array(made[k].astype(kinds.get(k, np.int64))) for k in names[:-1]), pa.array(failed(made).astype(bool)), pa.array(made["score"])]
             yield pa.RecordBatch.from_arrays(columns, ["_id", *names[:-1], "base_failed", "score"])
 
     return run
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float | None = None, quantile: float = QUANTILE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     ``score`` is the mean log ratio over words and word pairs (0 for a text
     without words); ``kept`` is false where a base rule fails or the score is
-    below ``threshold`` (None: ``floor_for`` the trusted ids). Without trusted documents every score is 0. Null
-    texts have no words, null ids stay null, repeated rows are judged each.
+    below ``threshold`` (None: the ``quantile`` of the trusted documents'
+    left-out scores, see ``fit``). Without trusted documents every score is 0.
+    Null texts have no words, null ids stay null, repeated rows are judged each.
     """
-    ratios, n = log_ratios(docs, trusted, buckets, trusted_rows, id_col, text)
-    threshold = floor_for(n) if threshold is None else threshold
+    ratios, floor = fit(docs, trusted, buckets, trusted_rows, quantile, id_col, text)
+    threshold = floor if threshold is None else threshold
     scored = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(_score(ratios), f"_id bigint, {BASE}, score double")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).withColumnRenamed("_id", id_col)
 
 
-def good_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def good_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float | None = None, quantile: float = QUANTILE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, dropped where they are read: nothing is shuffled."""
-    ratios, n = log_ratios(docs, trusted, buckets, trusted_rows, id_col, text)
-    score, threshold = _score(ratios), floor_for(n) if threshold is None else threshold
+    ratios, floor = fit(docs, trusted, buckets, trusted_rows, quantile, id_col, text)
+    score, threshold = _score(ratios), floor if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = next(score(iter([pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text)], ["_id", "_text"])])))
-            failed, found = (judged.column(c).to_numpy(zero_copy_only=False) for c in ("base_failed", "score"))
-            yield batch.filter(pa.array(~failed.astype(bool) & (found >= threshold)))
+            bad, found = (judged.column(c).to_numpy(zero_copy_only=False) for c in ("base_failed", "score"))
+            yield batch.filter(pa.array(~bad.astype(bool) & (found >= threshold)))
 
     return docs.mapInArrow(run, docs.schema)
