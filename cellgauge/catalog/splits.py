@@ -8,6 +8,8 @@ from cellgauge.catalog import fixtures as fx
 from cellgauge.catalog.fixtures import with_ctes
 from cellgauge.catalog.registry import query
 from cellgauge.operators import splits as K
+from cellgauge.operators.crops import smallest_mask_window
+from cellgauge.operators.ranks import hash_rank
 from cellgauge.session import stage
 
 SEED = 42
@@ -158,6 +160,49 @@ def window_of_all(spark, sf):
     return K.smallest_window(cells, centres, "sample_id", 2**30, 1000, 1000)
 
 
+# a mask of blocks with gaps: a third of each image's pixels may stand anywhere, so boxes overlap
+MASK = """mk AS (SELECT l_suppkey AS sample_id, CAST(l_quantity AS BIGINT) - 1 AS x, l_orderkey % 50 AS y,
+    CASE WHEN l_partkey % 5 = 0 THEN 0 WHEN l_partkey % 3 = 0 THEN 1 + l_partkey % 40 ELSE 1 + (l_orderkey % 50) // 5 * 10 + (CAST(l_quantity AS BIGINT) - 1) // 5 END AS cell_id FROM lineitem),
+  ce AS (SELECT sample_id, x AS cx, y AS cy FROM (SELECT DISTINCT sample_id, x, y FROM mk WHERE cell_id <> 0)
+    QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat('{SEED}-', sample_id, '-', x, '-', y)), x, y) <= 3)"""
+SIZED = """{to}0 AS (SELECT c.sample_id, c.from_x, c.from_y, c.cx, c.cy, cell_id, min(greatest(c.cx - x, x - c.cx + 1, c.cy - y, y - c.cy + 1)) AS half
+    FROM {of} c JOIN mk ON mk.sample_id = c.sample_id WHERE cell_id <> 0 GROUP BY ALL),
+  {to}1 AS (SELECT *, row_number() OVER (PARTITION BY sample_id, from_x, from_y ORDER BY half) AS r, count(*) FILTER (half <= 25) OVER (PARTITION BY sample_id, from_x, from_y) AS reached FROM {to}0),
+  {to} AS (SELECT sample_id, from_x, from_y, cx, cy, CASE WHEN max(reached) >= {m} THEN 2 * max(half) FILTER (r = {m}) ELSE 50 END AS side FROM {to}1 GROUP BY ALL)"""
+
+
+def mask_pixels(spark, sf):
+    return fx.table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey AS sample_id", "CAST(l_quantity AS BIGINT) - 1 AS x", "l_orderkey % 50 AS y",
+        """CASE WHEN l_partkey % 5 = 0 THEN 0 WHEN l_partkey % 3 = 0 THEN 1 + l_partkey % 40
+           ELSE 1 + (l_orderkey % 50) div 5 * 10 + (CAST(l_quantity AS BIGINT) - 1) div 5 END AS cell_id""")
+
+
+def mask_windows(spark, sf, m):
+    pixels = mask_pixels(spark, sf)
+    on = pixels.where("cell_id <> 0").select("sample_id", "x", "y").distinct()
+    centres = hash_rank(on, ["sample_id"], SEED, ["sample_id", "x", "y"], rank="_rank", first=3).selectExpr("sample_id", "x AS cx", "y AS cy")
+    return smallest_mask_window(pixels, centres, "sample_id", "cell_id", m, 50, 50)
+
+
+def mask_sql(m):
+    return f"""WITH {MASK.format(SEED=SEED)}, c0 AS (SELECT sample_id, cx AS from_x, cy AS from_y, cx, cy FROM ce),
+  {SIZED.format(to='a', of='c0', m=m)}, mv AS (SELECT sample_id, from_x, from_y, least(greatest(cx, side // 2), 50 - side // 2) AS cx, least(greatest(cy, side // 2), 50 - side // 2) AS cy FROM a),
+  {SIZED.format(to='b', of='mv', m=m)}
+  SELECT b.sample_id, b.from_x, b.from_y, b.cx, b.cy, CAST(b.side AS BIGINT) AS side, count(*) AS n_cells FROM b JOIN b0 USING (sample_id, from_x, from_y) WHERE half <= b.side // 2 GROUP BY ALL"""
+
+
+@query("k09_mask_window", mask_sql(12))
+def mask_window(spark, sf):
+    return mask_windows(spark, sf, 12)
+
+
+@query("k09_mask_window_of_all", mask_sql(200))
+def mask_window_of_all(spark, sf):
+    # more mask ids asked for than any image has
+    return mask_windows(spark, sf, 200)
+
+
 @query("k10_internal_validation", sql(f"""WITH c AS (SELECT cell_id, cell_type FROM cells QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY {H}, cell_id) <= 500),
   d AS (SELECT cell_type, row_number() OVER (ORDER BY cell_type) - 1 AS code FROM (SELECT DISTINCT cell_type FROM c))
   SELECT cell_id, CASE WHEN (row_number() OVER (PARTITION BY cell_type ORDER BY {H}, cell_id) - 1 + code) % 4 = 0 THEN 'validation' ELSE 'train' END AS split
