@@ -130,10 +130,16 @@ with p as (
   select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 o as (select doc_id, case when quality = 0 or toxic = 1 then 1 else 0 end as bad from labels),
-h as (
-  select host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, list_extract(string_split(host, '.'), -1) as suffix,
-         count(bad)::double as n, coalesce(sum(bad), 0)::double as k
+h1 as (
+  select host, string_split(regexp_replace(host, '(?s)^.*@|\.*(:[0-9]*)?\z', '', 'g'), '.') as ls, count(bad)::double as n, coalesce(sum(bad), 0)::double as k
   from p left join o on p.page_id = o.doc_id group by host),
+h2 as (
+  select *, case when len(ls) > 1 and regexp_full_match(ls[-1], '[a-z][a-z]')
+                  and ls[-2] in ('ac', 'co', 'com', 'edu', 'gob', 'gouv', 'gov', 'go', 'ltd', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') then 2 else 1 end as m,
+         regexp_full_match(array_to_string(ls, '.'), '[0-9]+(\.[0-9]+){3}') as number from h1),
+h as (
+  select host, n, k, case when number then array_to_string(ls, '.') else array_to_string(ls[greatest(len(ls) - m, 1) :], '.') end as domain,
+         case when number then '' else array_to_string(ls[greatest(len(ls) - m + 1, 1) :], '.') end as suffix from h2),
 d as (select domain, suffix, sum(n) as n, sum(k) as k from h group by domain, suffix),
 s as (select suffix, sum(n) as n, sum(k) as k from d group by suffix),
 w as (select (sum(k) + 0.5) / (sum(n) + 1.0) as mean from s),
@@ -146,16 +152,25 @@ dp as (select domain, (k + (1 / rho - 1) * mean) / (n + (1 / rho - 1)) as mean f
 hm as (select h.host, h.n, h.k, dp.mean from h join dp using (domain)),
 hr as (select least(0.999, greatest(0.001, coalesce((sum(n * (k / n - mean) * (k / n - mean)) - sum(mean * (1 - mean))) / nullif(sum(mean * (1 - mean) * (n - 1)), 0), 0.001))) as rho from hm where n > 0),
 hp as (select host, (k + (1 / rho - 1) * mean) / (n + (1 / rho - 1)) as rate, n + (1 / rho - 1) as weight from hm, hr),
+ab as (select host, rate * weight as a, (1 - rate) * weight as b from hp),
+lo as (select *, ln(a / b) as peak, ln(a / b) - 14 * (sqrt(1 / a + 1 / b) + 1 / a) as low, ln(a / b) + 14 * (sqrt(1 / a + 1 / b) + 1 / b) as high from ab),
+cu as (select *, least(greatest(0.0::double, low), high) as cut from lo),
+gr as (select *, case when i in (0, 128) then 1.0::double when i % 2 = 1 then 4.0::double else 2.0::double end as simpson,
+              low + (cut - low) * i / 128 as below, cut + (high - cut) * i / 128 as above from cu, (select unnest(range(129)) as i)),
+ar as (
+  select host, any_value(cut - low) * sum(simpson * exp(a * below - (a + b) * (greatest(below, 0) + ln(1 + exp(-abs(below)))) - a * peak + (a + b) * (greatest(peak, 0) + ln(1 + exp(-abs(peak)))))) as under,
+         any_value(high - cut) * sum(simpson * exp(a * above - (a + b) * (greatest(above, 0) + ln(1 + exp(-abs(above)))) - a * peak + (a + b) * (greatest(peak, 0) + ln(1 + exp(-abs(peak)))))) as over
+  from gr group by host),
 j as (
-  select p.page_id, p.host, p.path, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) as bad_floor,
+  select p.page_id, p.host, p.path, over / (under + over) as bad_share,
          case when (p.host = 'example.com' or p.host like '%.example.com') and p.path like '/de/%' then 'example.com/de/'
               when (p.host = 'example.net' or p.host like '%.example.net') and p.path like '/en/%' then 'example.net/en/'
               when (p.host = 'org' or p.host like '%.org') and p.path like '/fr/%' then 'org/fr/'
               when (p.host = 'net' or p.host like '%.net') and p.path like '/%' then 'net/' end as rule
-  from p join hp using (host))
+  from p join ar using (host))
 select page_id, host, path, rule,
        case rule when 'net/' then 'block' when 'example.com/de/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow'
-            else case when bad_floor > 0.5 then 'block' else 'allow' end end as verdict
+            else case when bad_share > 0.95 then 'block' else 'allow' end end as verdict
 from j
 """)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

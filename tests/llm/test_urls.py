@@ -1,4 +1,7 @@
-from cellgauge.llm.urls import host_reputations, judge_urls
+import numpy as np
+from pyspark.sql import functions as F
+
+from cellgauge.llm.urls import host_reputations, judge_urls, registered, share_above
 
 PAGES = "page_id long, url string, host string, verdict string, n int, mean string, domain string"
 URLS = [
@@ -31,6 +34,30 @@ def test_reputations_shrink(spark):
     got = {r.host: r for r in host_reputations(frame, told).collect()}
     assert got["bad0.spam.com"].bad_rate > 0.85 and got["good0.fine.com"].bad_rate < 0.02
     assert got["rare0.spam.com"].n == 0 and got["rare0.spam.com"].bad_rate > 0.5 > got["new.fine.com"].bad_rate  # by their domains
-    assert got["rare0.spam.com"].bad_sd > got["bad0.spam.com"].bad_sd
+    assert got["rare0.spam.com"].bad_a + got["rare0.spam.com"].bad_b < got["bad0.spam.com"].bad_a + got["bad0.spam.com"].bad_b
     verdicts = {r.host: r.verdict for r in judge_urls(frame, told, rules=()).collect()}
     assert verdicts["bad0.spam.com"] == "block" and verdicts["good3.fine.com"] == verdicts["new.fine.com"] == "allow"
+
+
+def test_registered_domains(spark):
+    cases = {
+        "a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "www.x.co.uk": ("x.co.uk", "co.uk"), "x.co.uk": ("x.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"), "a.co.info": ("co.info", "info"), "a.x.de": ("x.de", "de"), "u:p@w.x.com.au:80": ("x.com.au", "com.au"), "x.org.": ("x.org", "org"), "10.1.2.3:8080": ("10.1.2.3", ""),
+    }
+    got = spark.createDataFrame([(h,) for h in cases], "host string").select("host", *registered(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases
+
+
+def test_share_above_equals_a_fine_sum(spark):
+    cases = [(a, b) for a in (0.01, 0.4, 1.0, 7.5, 300.0, 2e5) for b in (0.01, 0.4, 1.0, 7.5, 310.0, 2e5)]
+
+    def plain(a, b, limit):
+        odds = np.linspace(-3000, 3000, 6_000_001) if min(a, b) < 1 else np.linspace(-30, 30, 6_000_001)
+        height = a * odds - (a + b) * np.logaddexp(0, odds)
+        mass = np.exp(height - height.max())
+        return mass[odds > np.log(limit / (1 - limit))].sum() / mass.sum()
+
+    frame = spark.createDataFrame(cases, "a double, b double")
+    for limit in (0.5, 0.2):
+        got = frame.select("a", "b", share_above(F.col("a"), F.col("b"), limit).alias("p")).collect()
+        assert max(abs(r.p - plain(r.a, r.b, limit)) for r in got) < 0.002
