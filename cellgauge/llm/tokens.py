@@ -20,6 +20,7 @@ from cellgauge.session import scratch_path, stage
 
 CACHE = "tokenizer string, digest string, n_bytes bigint, n_tokens bigint"
 ENCODE_CHARS = 256 << 10
+BROADCAST_ROWS = 50_000  # of at most 120 bytes
 
 
 def tokenizer_digest(path: str) -> str:
@@ -74,6 +75,18 @@ def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return found.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def missing_texts(docs: DataFrame, missing: DataFrame, rows: int, id_col: str, text: str) -> DataFrame:
+    """Digest and text of the ``rows`` misses, each named by one document that holds it.
+
+    Few misses travel to the texts, which then stay where they are read; with
+    more than ``BROADCAST_ROWS``, texts and misses meet by id.
+    """
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    joined = texts.join(missing.hint("broadcast" if rows <= BROADCAST_ROWS else "shuffle_hash"), texts["_id"].eqNullSafe(missing["_id"]))
+    # an id on several rows may meet the digest of another text
+    return joined.filter(F.sha2("_text", 256) == F.col("_digest")).select("_digest", "_text")
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_bytes (UTF-8), n_tokens and over_limit.
 
@@ -87,18 +100,17 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     version = tokenizer_digest(tokenizer)
     cache = cache or scratch_path(spark, "token-cache")
     body = F.coalesce(F.col(text), F.lit(""))
-    # one narrow row per document; texts themselves move only for the misses
+    # one narrow row per document; texts themselves move only for the misses, and not at all if these are few
     keyed = stage(docs.select(F.col(id_col).alias("_id"), F.sha2(body, 256).alias("_digest"), F.octet_length(body).cast("long").alias("n_bytes")), "token-digests")
     known = _read_cache(spark, cache, version)
     missing = keyed.join(known, keyed["_digest"] == known["digest"], "left_anti").groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).alias("_first"), F.first("n_bytes").alias("_bytes"))
-    missing = missing.select("_digest", "_bytes", F.col("_first._id").alias("_id"))
-    texts = docs.select(F.col(id_col).alias("_id"), body.alias("_text"))
-    joined = texts.join(missing.hint("shuffle_hash"), texts["_id"].eqNullSafe(missing["_id"]))
-    # an id on several rows may meet the digest of another text
-    chosen = joined.filter(F.sha2("_text", 256) == F.col("_digest")).select("_digest", "_text")
-    counted = chosen.mapInArrow(_encode(tokenizer), "digest string, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = counted.join(missing.select(F.col("_digest").alias("digest"), F.col("_bytes").alias("n_bytes")), "digest")
-    sized.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache)
+    missing = stage(missing.select("_digest", "_bytes", F.col("_first._id").alias("_id")), "token-misses")
+    n_missing = missing.count()
+    if n_missing:
+        chosen = missing_texts(docs, missing, n_missing, id_col, text)
+        counted = chosen.mapInArrow(_encode(tokenizer), "digest string, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        sized = counted.join(missing.select(F.col("_digest").alias("digest"), F.col("_bytes").alias("n_bytes")), "digest")
+        sized.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache)
     stored = _read_cache(spark, cache, version)
     out = keyed.join(stored, keyed["_digest"] == stored["digest"])
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

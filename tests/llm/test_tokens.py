@@ -4,7 +4,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from cellgauge.llm.catalog import queries
-from cellgauge.llm.tokens import CACHE, token_counts
+from cellgauge.llm import tokens
+from cellgauge.llm.tokens import CACHE, missing_texts, token_counts
 from tests.conftest import SF
 from tests.llm.conftest import EDGES
 
@@ -44,3 +45,20 @@ def test_cache_encodes_only_what_it_misses(spark, corpus, tmp_path):
     assert all(again[d] == n + 1000 for d, n in first.items()) and len(again) == len(texts)
     # counts of another tokenizer say nothing
     assert token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache).count() == len(texts)
+
+
+def test_texts_stay_in_place_when_few_are_missing(spark, corpus, tmp_path, monkeypatch):
+    docs, texts = corpus
+    kept = dict(list(texts.items())[:3])
+    missing = docs.filter(docs.doc_id.isin(*kept)).selectExpr("sha2(text, 256) AS _digest", "doc_id AS _id")
+    few, many = (missing_texts(docs, missing, n, "doc_id", "text") for n in (3, tokens.BROADCAST_ROWS + 1))
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
+    assert ["hashpartitioning" in p for p in plans] == [False, True]
+    assert sorted(r._text for r in few.collect()) == sorted(r._text for r in many.collect()) == sorted(kept.values())
+    # both ways, and a cache that lacks nothing, give the same counts
+    cache = str(tmp_path / "cache")
+    first = sorted(map(tuple, token_counts(docs, MODEL, cache).collect()))
+    before = spark.read.schema(CACHE).parquet(cache).count()
+    assert sorted(map(tuple, token_counts(docs, MODEL, cache).collect())) == first and spark.read.schema(CACHE).parquet(cache).count() == before
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, token_counts(docs, MODEL).collect())) == first
