@@ -21,6 +21,7 @@ from cellgauge.session import scratch_path, stage
 CACHE = "tokenizer string, digest string, n_bytes bigint, n_tokens bigint"
 ENCODE_CHARS = 256 << 10
 BROADCAST_ROWS = 50_000  # of at most 120 bytes
+FEW = 0.1  # share of the documents up to which a warm cache is taken to hold nearly all
 
 
 def tokenizer_digest(path: str) -> str:
@@ -75,14 +76,14 @@ def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return found.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def missing_texts(docs: DataFrame, missing: DataFrame, rows: int, id_col: str, text: str) -> DataFrame:
-    """Digest and text of the ``rows`` misses, each named by one document that holds it.
+def missing_texts(docs: DataFrame, missing: DataFrame, few: bool, id_col: str, text: str) -> DataFrame:
+    """Digest and text of the misses, each named by one document that holds it.
 
-    Few misses travel to the texts, which then stay where they are read; with
-    more than ``BROADCAST_ROWS``, texts and misses meet by id.
+    Few misses travel to the texts, which then stay where they are read; else
+    texts and misses meet by id, which also deals out the encoding evenly.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    joined = texts.join(missing.hint("broadcast" if rows <= BROADCAST_ROWS else "shuffle_hash"), texts["_id"].eqNullSafe(missing["_id"]))
+    joined = texts.join(missing.hint("broadcast" if few else "shuffle_hash"), texts["_id"].eqNullSafe(missing["_id"]))
     # an id on several rows may meet the digest of another text
     return joined.filter(F.sha2("_text", 256) == F.col("_digest")).select("_digest", "_text")
 
@@ -107,7 +108,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     missing = stage(missing.select("_digest", "_bytes", F.col("_first._id").alias("_id")), "token-misses")
     n_missing = missing.count()
     if n_missing:
-        chosen = missing_texts(docs, missing, n_missing, id_col, text)
+        few = n_missing <= BROADCAST_ROWS and n_missing <= FEW * keyed.count()
+        chosen = missing_texts(docs, missing, few, id_col, text)
         counted = chosen.mapInArrow(_encode(tokenizer), "digest string, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         sized = counted.join(missing.select(F.col("_digest").alias("digest"), F.col("_bytes").alias("n_bytes")), "digest")
         sized.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache)

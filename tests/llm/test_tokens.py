@@ -51,7 +51,7 @@ def test_texts_stay_in_place_when_few_are_missing(spark, corpus, tmp_path, monke
     docs, texts = corpus
     kept = dict(list(texts.items())[:3])
     missing = docs.filter(docs.doc_id.isin(*kept)).selectExpr("sha2(text, 256) AS _digest", "doc_id AS _id")
-    few, many = (missing_texts(docs, missing, n, "doc_id", "text") for n in (3, tokens.BROADCAST_ROWS + 1))
+    few, many = (missing_texts(docs, missing, rare, "doc_id", "text") for rare in (True, False))
     plans = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
     assert ["hashpartitioning" in p for p in plans] == [False, True]
     assert sorted(r._text for r in few.collect()) == sorted(r._text for r in many.collect()) == sorted(kept.values())
@@ -60,5 +60,5 @@ def test_texts_stay_in_place_when_few_are_missing(spark, corpus, tmp_path, monke
     first = sorted(map(tuple, token_counts(docs, MODEL, cache).collect()))
     before = spark.read.schema(CACHE).parquet(cache).count()
     assert sorted(map(tuple, token_counts(docs, MODEL, cache).collect())) == first and spark.read.schema(CACHE).parquet(cache).count() == before
-    monkeypatch.setattr(tokens, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(tokens, "FEW", 1.0)
     assert sorted(map(tuple, token_counts(docs, MODEL).collect())) == first
