@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
@@ -75,9 +76,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 
 
 def _files_by_header(spark: SparkSession, roots: str | Sequence[str], glob: str | None = None) -> list[list[str]]:
-    """The files below the roots, one list per first line; empty files are left out.
+    """The paths of the files below the roots as Spark writes them, one list per first line; empty files are left out.
 
-    File names alone reach the driver, as in any listing; first lines are found
+    Paths alone reach the driver, as in any listing; first lines are found
     in the files' first blocks.
     """
     reader = spark.read.option("recursiveFileLookup", True)
@@ -89,7 +90,7 @@ def _files_by_header(spark: SparkSession, roots: str | Sequence[str], glob: str
     )
     heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
     found = heads.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect()
-    return [[unquote(f) for f in row.files] for row in found]
+    return [row.files for row in found]
 
 
 def read_predictions(
@@ -100,21 +101,26 @@ def read_predictions(
     Columns are found by the name in each file's own header and cast to
     ``schema``; one that a file lacks is null. Files with the same header are
     read together. With ``folders`` a prediction file is a folder of part files,
-    and path parts may be written ``key=value``.
+    and path parts may be written ``key=value``. Paths are taken apart once per
+    file; rows get the parts by a join on the path.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     part = r"(?:[^/=]+=)?([^/]+)/"
-    pattern = part * 3 + r"(?:[^/=]+=)?predictions_?([^/]*?)\.csv(?:/[^/]+)?$"
+    pattern = re.compile(part * 3 + r"(?:[^/=]+=)?predictions_?([^/]*?)\.csv(?:/[^/]+)?$")
     names = ("dataset", "method", "level", "fold")
-    out = None
+    parts_ddl = ", ".join(f"{n} string" for n in ("_file", *names))
+    out = spark.createDataFrame([], T.StructType([*wanted, *(T.StructField(n, T.StringType()) for n in names)]))
     for files in _files_by_header(spark, roots, None if folders else "predictions*.csv"):
-        raw = spark.read.option("header", True).csv(files)
-        path = F.col("_metadata.file_path")
-        found = raw.where(path.rlike(pattern)).select(
+        fitting = [(f, *m.groups()) for f in files if (m := pattern.search(f))]
+        if not fitting:
+            continue
+        raw = spark.read.option("header", True).csv([unquote(f) for f, *_ in fitting])
+        rows = raw.select(
+            F.col("_metadata.file_path").alias("_file"),
             *[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted],
-            *[F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)],
         )
-        out = found if out is None else out.unionByName(found)
+        # the list of paths is at the driver as it is
+        out = out.unionByName(rows.join(F.broadcast(spark.createDataFrame(fitting, parts_ddl)), "_file").drop("_file"))
     return out
 
 

@@ -40,6 +40,21 @@ def test_prediction_layout(spark, tmp_path):
     assert sorted((r.dataset, r.method, r.level, r.fold) for r in rows) == [("tissue", "alpha", "level3", "2"), ("tissue", "beta", "level3", "2")]
 
 
+def test_prediction_paths_are_taken_apart_once_per_file(spark, tmp_path):
+    d = tmp_path / "key=tissue a" / "alpha" / "level3"
+    d.mkdir(parents=True)
+    (d / "other.csv").write_text("x\n1\n")
+    schema = "true_phenotype string, predicted_phenotype string"
+    none = S.read_predictions(spark, str(tmp_path), schema)
+    assert none.columns == ["true_phenotype", "predicted_phenotype", "dataset", "method", "level", "fold"] and none.count() == 0
+    (d / "predictions_2.csv").write_text("true_phenotype,predicted_phenotype\na,b\n")
+    found = S.read_predictions(spark, str(tmp_path), schema)
+    assert [tuple(r) for r in found.collect()] == [("a", "b", "tissue%20a", "alpha", "level3", "2")]
+    # a pattern matched against the path of every row took most of the time
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and "regexp" not in plan
+
+
 def test_prediction_columns_are_found_by_name(spark, tmp_path):
     texts = {"one": "true_phenotype,predicted_phenotype\na,b\n", "two": "confidence,predicted_phenotype,true_phenotype\n0.5,b,a\n"}
     for name, text in texts.items():
