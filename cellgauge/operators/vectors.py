@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from cellgauge.operators.splits import sample_n
 from cellgauge.session import stage
 
-#: rows packed into one block of candidates, and of queries
-BLOCK_ROWS = 1_024
+#: rows packed into one block of candidates, and of queries, at most: what pairs of blocks shuffle falls as blocks grow
+BLOCK_ROWS = 16_384
+#: rows that call for another pivot
+PIVOT_ROWS = 1_024
+#: queries of a block that meet its candidates at a time
+TILE = 512
 
 
 def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, name: str) -> DataFrame:
@@ -33,7 +37,9 @@ def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, nam
         best = d.argmin(axis=1)
         return pd.DataFrame({"pivot": best.astype("int32"), "dist": d[np.arange(len(x)), best]})
 
-    tagged = df.select(F.col(key).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"))
+    # floats travel as they are, and are measured as doubles
+    plain = df.schema[vec].dataType.elementType.simpleString() == "float"
+    tagged = df.select(F.col(key).alias("id"), (F.col(vec) if plain else F.transform(vec, lambda v: v.cast("double"))).alias("v"))
     placed = stage(tagged.withColumn("_n", nearest("v")).select("id", "v", "_n.*"), name)
     cut = stage(placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -56,19 +62,22 @@ def _nearest(q_ids, q, c_ids, c, k: int, same: bool) -> tuple[np.ndarray, np.nda
     """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    qq, cc = (q * q).sum(axis=1), (c * c).sum(axis=1)
-    rough = qq[:, None] + cc[None, :] - 2.0 * (q @ c.T)
-    if same:
-        rough[q_ids[:, None] == c_ids[None, :]] = np.inf
-    slack = 1e-9 * (qq.max() + cc.max() + 1.0)
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
-    rows, cols = np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
-    dist = np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
-    best = np.lexsort((cols, dist, rows))
-    rows, cols, dist = rows[best], cols[best], dist[best]
-    nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    keep = nth < k
-    return rows[keep], order[cols[keep]], dist[keep]
+    cc, found = (c * c).sum(axis=1), []
+    for at in range(0, len(q), TILE):
+        some, x = q_ids[at: at + TILE], q[at: at + TILE]
+        qq = (x * x).sum(axis=1)
+        rough = qq[:, None] + cc[None, :] - 2.0 * (x @ c.T)
+        if same:
+            rough[some[:, None] == c_ids[None, :]] = np.inf
+        slack = 1e-9 * (qq.max() + cc.max() + 1.0)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(x), np.inf)
+        rows, cols = np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
+        dist = np.sqrt(((x[rows] - c[cols]) ** 2).sum(axis=1))
+        best = np.lexsort((cols, dist, rows))
+        rows, cols, dist = rows[best], cols[best], dist[best]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        found.append((rows[keep] + at, order[cols[keep]], dist[keep]))
+    return tuple(np.concatenate(f) for f in zip(*found))
 
 
 def _matrix(ids, flat) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +98,7 @@ def knn_vectors(
     """
     spark = base.sparkSession
     # at most max_pivots rows reach the driver
-    n_pivots = max(1, min(max_pivots, base.count() // block_rows))
+    n_pivots = max(1, min(max_pivots, base.count() // min(block_rows, PIVOT_ROWS)))
     drawn = sample_n(base.select(key, vec), n_pivots, [key], seed).orderBy(key).collect()
     centers = np.array([r[vec] for r in drawn], dtype=float)
     cand = _pack(base, key, vec, centers, block_rows, "candidates")
@@ -128,6 +137,8 @@ def knn_vectors(
         heads_q.join(reach, "q_block", "left").join(gaps, "q_pivot").join(heads_c, "c_pivot")
         .where(F.col("_gap") - F.col("q_radius") - F.col("c_radius") - 1e-9 <= F.coalesce("q_reach", F.lit(float("inf"))))
         .select("q_block", "c_block")
+        # pairs are few rows and much work: dealt out, whether or not the joins below shuffle
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q_block", "c_block")
     )
     q = query.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     c = cand.select(F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("flat").alias("c_flat"))
