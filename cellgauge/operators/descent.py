@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellgauge.operators.vectors import _nearest
 from cellgauge.session import stage
 
 LEAF = 64
 #: candidates that one neighbourhood hands to one of its members, at most
 OFFERS = 12
 LINK = "src bigint, dst bigint, dist double"
+#: share of the true neighbours that a search must find for vectors drawn by hash, and how many are drawn
+LEAST_RECALL, DRAWN = 0.97, 256
 
 
 def distinct_vectors(df: DataFrame, key: str, vec: str, copies: int) -> DataFrame:
@@ -133,14 +136,15 @@ def _best(links: DataFrame, width: int) -> DataFrame:
 
 
 def neighbour_graph(
-    nodes: DataFrame, width: int, trees: int = 3, leaf: int = LEAF, stop: float = 0.002, max_rounds: int = 12, seed: int = 42
+    nodes: DataFrame, width: int, trees: int = 3, leaf: int = LEAF, stop: float = 0.002, max_rounds: int = 12, seed: int = 42, known: DataFrame | None = None,
 ) -> tuple[DataFrame, list[dict]]:
     """Lists of ``width`` near vectors (src, dst, dist, fresh), and what each round did.
 
     In a round the members of each vector's neighbourhood meet: its own list and
     as many vectors that list it, chosen by hash (a hub is listed by any number).
     Pairs that met before don't meet again. Each round is written out. The
-    search ends when a round changes at most ``stop`` of all entries.
+    search ends when a round changes at most ``stop`` of all entries. Lists of
+    an earlier search (``known``) are a further start.
     """
     n = nodes.count()
     if n < 2:
@@ -151,6 +155,8 @@ def neighbour_graph(
     # a vector alone in its leaves starts from others by chance
     ring = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // leaf))).alias("code"), "v").groupBy("code").agg(F.collect_list(F.struct("node", "v")).alias("rows"))
     start = start.unionByName(ring.select("rows").mapInArrow(_first(max(2, width // 4)), LINK).withColumn("fresh", F.lit(True)))
+    if known is not None:
+        start = start.unionByName(known.select("src", "dst", "dist", F.lit(True).alias("fresh")))
     graph, rounds = stage(_best(start, width), "graph"), []
     for r in range(max_rounds):
         worst = graph.groupBy("src").agg(F.when(F.count(F.lit(1)) >= width, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
@@ -169,6 +175,23 @@ def neighbour_graph(
     return graph, rounds
 
 
+def sampled_recall(lists: DataFrame, points: DataFrame, nodes: DataFrame, k: int, same: bool, seed: int = 42) -> float:
+    """Share of the ``k`` nearest nodes that ``lists`` has for at most DRAWN points, which meet all nodes."""
+    drawn = points.select("node", "v").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(DRAWN).collect()
+    ids, x = np.array([r["node"] for r in drawn], np.int64), np.array([r["v"] for r in drawn], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                others = batch.column("node").to_numpy(zero_copy_only=False)
+                rows, cols, dist = _nearest(ids, x, others, _stacked(batch.column("v")), k, same)
+                yield _links([(ids[rows], others[cols], dist)])
+
+    near = nodes.select("node", "v").mapInArrow(run, LINK).withColumn("_r", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")))
+    hits = near.where(F.col("_r") <= k).join(lists.select("src", "dst", F.lit(1).alias("_hit")), ["src", "dst"], "left")
+    return hits.agg(F.avg(F.coalesce("_hit", F.lit(0)))).first()[0]
+
+
 def _expand(lists: DataFrame, queries: DataFrame, nodes: DataFrame, k: int, same: bool) -> DataFrame:
     """From lists of distinct vectors to the keys that have them: ``src, dst, dist, rank``."""
     near = lists.join(nodes.select(F.col("node").alias("dst"), F.col("ids").alias("_ids")), "dst")
@@ -189,13 +212,18 @@ def knn_descent(df: DataFrame, key: str, vec: str, k: int, width: int | None = N
     """About the ``k`` nearest vectors of every row: ``src, dst, dist, rank``.
 
     Distances and their order are exact; a list may miss a neighbour. Lists are
-    ``width`` long while they improve (default 3 k): longer ones miss less.
+    ``width`` long while they improve (default 3 k): longer ones miss less, and
+    they are doubled until at most the share 1 - LEAST_RECALL is missed.
     Copies of a vector are one node of the graph, and all of them are found.
     Rows with a null vector take no part; keys are unique.
     """
     rows = df.where(F.col(vec).isNotNull())
     nodes = distinct_vectors(rows, key, vec, k + 1)
-    graph, _ = neighbour_graph(nodes, width or 3 * k, **settings)
+    width, n = width or 3 * k, nodes.count()
+    graph, _ = neighbour_graph(nodes, width, **settings)
+    while width < n - 1 and sampled_recall(graph, nodes, nodes, k, True) < LEAST_RECALL:
+        width *= 2
+        graph, _ = neighbour_graph(nodes, width, known=graph, **settings)
     return _expand(graph.drop("fresh"), _named(rows, key, vec, nodes), nodes, k, True)
 
 
@@ -207,7 +235,8 @@ def knn_search(
 
     Queries fall into leaves with the base vectors, and then follow the
     neighbour graph of the base: in each round a list meets the lists of its
-    new entries, until hardly any list changes.
+    new entries, until hardly any list changes. Where the lists miss more than
+    the share 1 - LEAST_RECALL, lists and graph are made twice as wide.
     """
     spark, width = base.sparkSession, width or max(40, 3 * k)
     found, asked = base.where(F.col(vec).isNotNull()), queries.where(F.col(vec).isNotNull())
@@ -215,7 +244,19 @@ def knn_search(
     n, m = nodes.count(), points.count()
     if not n or not m:
         return spark.createDataFrame([], f"src {base.schema[key].dataType.simpleString()}, dst {base.schema[key].dataType.simpleString()}, dist double, rank int")
-    graph, _ = neighbour_graph(nodes, max(20, width // 2), trees, leaf, stop, max_rounds, seed)
+    known = None
+    while True:
+        known, _ = neighbour_graph(nodes, max(20, width // 2), trees, leaf, stop, max_rounds, seed, known)
+        lists = _follow(known, nodes, points, n, m, width, trees, leaf, stop, max_rounds, seed)
+        if width >= 2 * n or sampled_recall(lists, points, nodes, k, False) >= LEAST_RECALL:
+            return _expand(lists.drop("fresh"), _named(asked, key, vec, points), nodes, k, False)
+        width *= 2
+
+
+def _follow(
+    graph: DataFrame, nodes: DataFrame, points: DataFrame, n: int, m: int, width: int, trees: int, leaf: int, stop: float, max_rounds: int, seed: int
+) -> DataFrame:
+    """Lists (src, dst, dist, fresh) of the nodes near each point, found along the graph of the nodes."""
     # both directions, at most ``width`` of the second
     back = graph.select(F.col("dst").alias("_via"), F.col("src").alias("dst"), "dist")
     back = back.withColumn("_r", F.row_number().over(W.partitionBy("_via").orderBy("dist", "dst"))).where(F.col("_r") <= width)
@@ -242,4 +283,4 @@ def knn_search(
         lists = stage(_best(lists.withColumn("fresh", F.lit(False)).unionByName(offered), width), "lists")
         if lists.where("fresh").count() <= stop * m * width:
             break
-    return _expand(lists.drop("fresh"), _named(asked, key, vec, points), nodes, k, False)
+    return lists
