@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgauge.session import stage
+from cellgauge.session import spread, stage
 
 #: locations of one tile that meet in one task; fuller tiles are split
 TILE_ROWS = 20_000
@@ -162,5 +162,5 @@ def sums_around(locs: DataFrame, d: float, payload: Sequence[str], tile_rows: in
     )
     kind = locs.schema["_s"].dataType.simpleString()
     schema = ", ".join([f"_s {kind}, _x double, _y double", *(f"`{c}` {'bigint' if w else 'double'}" for c, w in zip(payload, whole))])
-    found = dealt.groupBy(*at, "_group").applyInArrow(_tile(float(d), list(payload), whole), schema)
+    found = spread(dealt, *at, "_group").groupBy(*at, "_group").applyInArrow(_tile(float(d), list(payload), whole), schema)
     return found.groupBy("_s", "_x", "_y").agg(*[F.sum(c).alias(c) for c in payload])
