@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions.exprs import argmax
 from cellgauge.operators.aggregates import class_weights
 from cellgauge.operators.cleaning import label_dictionary
-from cellgauge.session import stage
+from cellgauge.session import even, stage
 
 FEATURES = "features"
 
@@ -146,7 +146,12 @@ def grid_search(
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=builder.build(), evaluator=ev, numFolds=folds, foldCol=fold, parallelism=parallelism
     )
-    return cv.fit(train)
+    # once in memory and on all cores; every fit goes over its folds many times
+    rows = even(train).persist()
+    try:
+        return cv.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 # -- clusters --------------------------------------------------------------
@@ -158,7 +163,7 @@ def kmeans_clusters(df: DataFrame, k: int, seed: int = 42, out: str = "cluster",
 
 
 def mixture_clusters(df: DataFrame, k: int, seed: int = 42, out: str = "cluster", **params) -> DataFrame:
-    model = GaussianMixture(k=k, seed=seed, featuresCol=FEATURES, predictionCol=out, probabilityCol="_mix", **params).fit(df)
+    model = GaussianMixture(k=k, seed=seed, featuresCol=FEATURES, predictionCol=out, probabilityCol="_mix", **params).fit(even(df.select(FEATURES)))
     return model.transform(df).drop("_mix")
 
 
