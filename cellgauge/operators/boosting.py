@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.functions.exprs import argmax
-from cellgauge.session import discard, scratch_path
+from cellgauge.session import discard, even, scratch_path
 
 ROWS = "code int, weight double, held boolean, bins binary, scores binary"
 
@@ -64,9 +64,24 @@ def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
 
 
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of a binary column end to end."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    begin, end = int(at[column.offset]), int(at[column.offset + len(column)])
+    return np.frombuffer(data, kind, (end - begin) // np.dtype(kind).itemsize, begin) if end > begin else np.zeros(0, kind)
+
+
+def _rows(values: np.ndarray) -> pa.Array:
+    """Each row of an array as bytes."""
+    values = np.ascontiguousarray(values)
+    at = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+
 def _arrays(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    scores = np.frombuffer(b"".join(batch.column("scores").to_pylist()), np.float64).reshape(-1, classes)
+    bins = _flat(batch.column("bins"), np.uint8).reshape(batch.num_rows, -1)
+    scores = _flat(batch.column("scores"), np.float64).reshape(-1, classes)
     return batch.column("code").to_numpy(), batch.column("weight").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False).astype(bool), bins, scores
 
 
@@ -143,10 +158,9 @@ class SoftmaxTrees:
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, features)
-                bins, zero = _binned(x, edges), np.zeros(classes).tobytes()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "weight", "held")), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([zero] * batch.num_rows, pa.binary())], ["code", "weight", "held", "bins", "scores"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "weight", "held")), _rows(_binned(x, edges)), _rows(np.zeros((batch.num_rows, classes)))], ["code", "weight", "held", "bins", "scores"])
 
-        path = self._written(rows.mapInArrow(start, ROWS))
+        path = self._written(even(rows).mapInArrow(start, ROWS))
         trees, losses, best, waited = [], [], 0, 0
         for _ in range(self.rounds + 1):
             now = spark.read.schema(ROWS).parquet(path)
@@ -178,7 +192,7 @@ class SoftmaxTrees:
             for batch in batches:
                 *_, bins, scores = _arrays(batch, len(trees))
                 after = scores + np.stack([np.array(t.value)[t.leaf(bins)] for t in trees], axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in after], pa.binary())], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _rows(after)], batch.schema.names)
 
         return run
 
