@@ -26,6 +26,10 @@ def _running_before(c: str, by: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint")
 
 
+#: so many first rows of a group are taken from every partition
+FEW = 64
+
+
 def hash_rank(
     df: DataFrame,
     by: Sequence[str],
@@ -42,8 +46,14 @@ def hash_rank(
     of the hash make equal-sized buckets for a group of any size. ``size`` adds
     the row count of the group. With ``first`` only ranks up to it are kept (an
     expression may use ``by`` and ``size``); buckets beyond it are dropped
-    before anything is sorted.
+    before anything is sorted. Up to ``FEW`` of them are found in every input
+    partition by itself, and only these are shuffled.
     """
+    if isinstance(first, int) and first <= FEW and size is None:
+        hashed = df.withColumn("_hash", order_hash(seed, *key))
+        # a bare limit on the row number is what the planner turns into a limit per partition
+        nth = F.row_number().over(W.partitionBy(*by).orderBy("_hash", *key))
+        return hashed.withColumn("_nth", nth).where(F.col("_nth") <= first).select(*df.columns, F.col("_nth").cast("bigint").alias(rank))
     size_col = size or "_group_rows"
     hashed = df.withColumn("_hash", order_hash(seed, *key)).withColumn(
         # one struct is the key of both the join and the window, so rows are shuffled once;

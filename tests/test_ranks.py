@@ -65,3 +65,12 @@ def test_average_ranks(spark, values):
         vs = np.array(vs)
         for v in set(vs.tolist()):
             assert got[(k, v)] == (vs < v).sum() + ((vs == v).sum() + 1) / 2
+
+
+def test_few_first_rows_are_cut_before_the_shuffle(spark):
+    df = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("g"), "id")
+    few = hash_rank(df, ["g"], 5, ["id"], rank="r", first=3)
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
+    every = hash_rank(df, ["g"], 5, ["id"], rank="r")
+    assert few.schema == every.schema
+    assert sorted(map(str, few.collect())) == sorted(map(str, every.where("r <= 3").collect()))
