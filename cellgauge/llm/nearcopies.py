@@ -37,8 +37,8 @@ BINS = 1 << BITS
 VALUE = 42
 #: bytes of a sketch: the used bins, then the low and the high bit of their values
 SKETCH = BINS // 8 * 3
-#: texts whose sketches are made together, and pairs that are compared together
-TEXTS, PAIRS = 2048, 1 << 18
+#: texts whose sketches are made together, and pairs whose sketches are fetched together
+TEXTS, PAIRS = 2048, 1 << 12
 #: members of a bucket that all others are compared with before all meet all
 LEADERS = 8
 
@@ -87,6 +87,15 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - (lone + (apart - lone) / 0.75) / np.maximum(used, 1)
 
 
+def _agree(marks: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows agree in ``least`` or more; few at a time, since two sketches take far more room than their positions."""
+    same = np.zeros(len(a), bool)
+    for at in range(0, len(a), PAIRS):
+        part = slice(at, at + PAIRS)
+        same[part] = agreement(marks[a[part]], marks[b[part]]) >= least
+    return same
+
+
 def _describe(shingle: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +131,7 @@ def _linked(fp: np.ndarray, key: np.ndarray, marks: np.ndarray, radius: int, lea
                 break
             lead, rest = loose[0], loose[1:]
             near = rest[np.bitwise_count(fp[rest] ^ fp[lead]) <= radius]
-            near = near[agreement(np.repeat(marks[lead: lead + 1], len(near), axis=0), marks[near]) >= least]
+            near = near[_agree(marks, np.full(len(near), lead), near, least)]
             joined[near] = lead
             if len(near):
                 yield np.full(len(near), lead), near
@@ -131,11 +140,9 @@ def _linked(fp: np.ndarray, key: np.ndarray, marks: np.ndarray, radius: int, lea
     for i, j in close_pairs(fp, key, radius):
         open_ = joined[i] != joined[j]
         i, j = i[open_], j[open_]
-        for at in range(0, len(i), PAIRS):
-            a, b = i[at: at + PAIRS], j[at: at + PAIRS]
-            same = agreement(marks[a], marks[b]) >= least
-            if same.any():
-                yield a[same], b[same]
+        same = _agree(marks, i, j, least)
+        if same.any():
+            yield i[same], j[same]
 
 
 def _buckets(radius: int, least: float):

@@ -33,6 +33,8 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: BELOW[n] has the n lowest bits set
 BELOW = np.array([(1 << n) - 1 for n in range(65)], dtype=np.uint64)
 ITEMS = 1 << 16
+#: pairs that are handed out together, about
+HANDED = 1 << 18
 NAMELESS = 1 << 62
 
 
@@ -156,8 +158,12 @@ def close_pairs(fp: np.ndarray, key: np.ndarray, radius: int) -> Iterator[tuple[
                 if len(live) < len(over):
                     i, w, own, over, counter = i[live], w[live], own[live], over[live], [c[live] for c in counter]
         else:
-            hit, lane_of = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield i[hit], w[hit] * 64 + lane_of
+            # nearly all of a dense bucket are hits, 64 for each item
+            hits = np.cumsum(np.bitwise_count(~over), dtype=np.int64)
+            edge = np.searchsorted(hits, np.arange(HANDED, int(hits[-1]) - 63, HANDED)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(over)]):
+                hit, lane_of = np.nonzero(np.unpackbits((~over[lo:hi]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                yield i[lo:hi][hit], w[lo:hi][hit] * 64 + lane_of
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

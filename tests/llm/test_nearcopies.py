@@ -117,3 +117,21 @@ def test_rows_do_not_grow_with_the_pairs(spark):
     fp = M.majority(h, count).view(np.int64)
     lanes = pa.RecordBatch.from_arrays([pa.array(np.repeat([1, 2], 300)), pa.array(np.tile(fp, 2)), pa.array(np.tile(np.arange(300), 2)), pa.array(marks * 2, pa.binary())], ["key", "fp", "vertex", "sketch"])
     assert sum(b.num_rows for b in M._buckets(22, 0.785)(iter([lanes]))) <= 2 * 299
+
+
+def test_dense_buckets_take_little_memory():
+    """A bucket in which all fingerprints are equal and no sketches agree: all pairs are compared, a few at a time."""
+    import tracemalloc
+
+    from cellgauge.llm import nearcopies as M
+
+    n = 2000
+    marks = [m.tobytes() for m in np.random.default_rng(3).integers(0, 256, (n, M.SKETCH), np.uint8)]
+    marks[n - 1] = marks[n - 2]
+    lanes = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(marks, pa.binary())], ["key", "fp", "vertex", "sketch"])
+    tracemalloc.start()
+    found = [b.to_pydict() for b in M._buckets(22, 0.785)(iter([lanes]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"a": [n - 1], "b": [n - 2]}]
+    assert most < 80e6
