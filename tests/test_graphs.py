@@ -124,3 +124,30 @@ def test_parts_are_split_where_nothing_holds_them(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 2), (4, 5), (5, 4), (3, 4), (4, 3)], "id bigint, nb bigint")
     nodes = spark.createDataFrame([(1, 7), (2, 7), (3, 9), (4, 7), (5, 7), (6, 7)], "id bigint, community bigint")
     assert groups(Q.connected_parts(links, nodes)) == [[1, 2], [3], [4, 5], [6]]
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-9])
+def test_wide_neighbourhoods_take_little_memory(spread):
+    """400 vectors that meet, some of them nearly or wholly equal: each is offered its nearest, and not all differences stand at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cellgauge.operators import descent as D
+
+    rng, n = np.random.default_rng(5), 400
+    x = rng.normal(size=(n, 64))
+    x[-20:] = x[0] + spread * rng.normal(size=(20, 64))
+    fresh, worst = rng.random(n) < 0.5, np.where(rng.random(n) < 0.5, np.inf, 10.0)
+    rows = [[{"member": i, "fresh": bool(fresh[i]), "worst": worst[i], "v": x[i].tolist()} for i in range(n)]]
+    kind = pa.list_(pa.struct([("member", pa.int64()), ("fresh", pa.bool_()), ("worst", pa.float64()), ("v", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["rows"])
+    tracemalloc.start()
+    found = [(r["src"], r["dst"], r["dist"]) for b in D._meet(iter([batch])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = D._distances(x, x)
+    d[~(fresh[:, None] | fresh[None, :]) | (d >= worst[:, None]) | np.eye(n, dtype=bool)] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : D.OFFERS]
+    assert sorted(found) == sorted((i, int(j), d[i, j]) for i in range(n) for j in near[i] if np.isfinite(d[i, j]))
+    assert spread < 1 or most < 60e6
