@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,24 +54,67 @@ def _pack(df: DataFrame, key: str, vec: str, centers: np.ndarray, rows: int, nam
     return stage(blocks, name)
 
 
+def _rough(c: np.ndarray, k: int) -> Callable[[np.ndarray, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives (row, column) of all pairs that may be among the ``k`` nearest of a row, those of ``barred`` pairs left out.
+
+    Products of floats decide about nearly all pairs: how far rounding can
+    reach is known beforehand. Where that leaves too many, and for numbers that
+    floats don't hold, products of doubles decide.
+    """
+    cc = (c * c).sum(axis=1)
+    centre = c.mean(axis=0) if len(c) else np.zeros(c.shape[1])
+    with np.errstate(all="ignore"):
+        moved = c - centre
+        square = (moved * moved).sum(axis=1)
+        plain = len(c) > 4 * k and bool(square.max() < 1e30)
+        # one product gives the squared distance but for what depends on the row alone
+        right = np.concatenate((-2 * moved, square[:, None]), axis=1).astype(np.float32).T if plain else None
+    # of so many parts each has its least; the k-th of them is no less than the k-th of all
+    parts = np.arange(0, len(c), max(1, len(c) // max(128, 4 * k)))
+
+    def by_doubles(x: np.ndarray, barred: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        qq = (x * x).sum(axis=1)
+        rough = qq[:, None] + cc[None, :] - 2.0 * (x @ c.T)
+        rough[barred] = np.inf
+        slack = 1e-9 * (qq.max() + cc.max() + 1.0)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(x), np.inf)
+        return np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
+
+    def run(x: np.ndarray, barred: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if plain:
+            with np.errstate(all="ignore"):
+                y = x - centre
+                most = (y * y).sum(axis=1).max(initial=0)
+            if most < 1e30:
+                rough = np.concatenate((y, np.ones((len(y), 1))), axis=1).astype(np.float32) @ right
+                rough[barred] = np.inf
+                limit = np.partition(np.minimum.reduceat(rough, parts, axis=1), k - 1, axis=1)[:, k - 1]
+                slack = 4 * (x.shape[1] + 4) * 2.0**-24 * (most + square.max())
+                at = np.flatnonzero(rough <= (limit + np.float32(slack)).astype(np.float32)[:, None])
+                if len(at) <= 64 * k * len(x):
+                    rows, cols = np.divmod(at, rough.shape[1])
+                    some = np.isfinite(rough[rows, cols])
+                    return rows[some], cols[some]
+        return by_doubles(x, barred)
+
+    return run
+
+
 def _nearest(q_ids, q, c_ids, c, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number of the query, candidate position and exact distance of the best ``k`` each.
 
-    A matrix product gives distances good to rounding; only candidates near the
+    Matrix products give distances good to rounding; only candidates near the
     k-th of them are measured exactly, and those are ordered by (distance, id).
     """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    cc, found = (c * c).sum(axis=1), []
+    near, found = _rough(c, k), []
     for at in range(0, len(q), TILE):
         some, x = q_ids[at: at + TILE], q[at: at + TILE]
-        qq = (x * x).sum(axis=1)
-        rough = qq[:, None] + cc[None, :] - 2.0 * (x @ c.T)
-        if same:
-            rough[some[:, None] == c_ids[None, :]] = np.inf
-        slack = 1e-9 * (qq.max() + cc.max() + 1.0)
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(x), np.inf)
-        rows, cols = np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
+        low = np.searchsorted(c_ids, some)
+        own = np.searchsorted(c_ids, some, side="right") - low if same else np.zeros(len(some), int)
+        mine = np.repeat(np.arange(len(some)), own), np.repeat(low - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        rows, cols = near(x, mine)
         dist = np.sqrt(((x[rows] - c[cols]) ** 2).sum(axis=1))
         best = np.lexsort((cols, dist, rows))
         rows, cols, dist = rows[best], cols[best], dist[best]

@@ -106,3 +106,30 @@ def test_communities_find_cliques(spark):
     for i, c in got.items():
         groups.setdefault(c, set()).add(i // 40)
     assert all(len(g) == 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("kind", ["plain", "offset", "huge", "whole numbers"])
+def test_nearest_by_products(kind):
+    """Whatever the numbers, the nearest are those of the differences, ties by id."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 12))
+    x = {"plain": x, "offset": x + 1e4, "huge": x * 1e40, "whole numbers": np.round(x)}[kind]
+    ids = rng.permutation(400)
+    with np.errstate(all="ignore"):
+        rows, cols, dist = V._nearest(ids, x, ids, x, 5, True)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    d[np.eye(400, dtype=bool) | ~np.isfinite(d)] = np.inf
+    want = [(i, j) for i in range(400) for j in np.lexsort((ids, d[i]))[:5] if np.isfinite(d[i, j])]
+    assert list(zip(rows.tolist(), cols.tolist())) == want and np.array_equal(dist, [d[i, j] for i, j in want])
+
+
+def test_a_tile_of_the_exact_search_takes_little_memory():
+    """512 queries and a full block: products are floats, and not several tables of doubles."""
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(V.BLOCK_ROWS, 16))
+    tracemalloc.start()
+    V._nearest(np.arange(V.TILE), x[: V.TILE], np.arange(len(x)), x, 10, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
